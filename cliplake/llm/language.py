@@ -32,6 +32,7 @@ TRAIN_ROWS, TRAIN_SENTENCES = 4000, 8
 TARGET_ACCURACY = 0.995
 #: A fit sees about STEPS sentences, in 2 to MAX_EPOCHS passes; FOLD_BLOCK neighbours of the sample share a fold.
 STEPS, MAX_EPOCHS, FOLD_BLOCK = 36_000, 12, 64
+EMBEDDING_RATE = 3.0
 
 #: Customary names and codes: ISO 639-1, then 639-2/3 codes, English and own names.
 NAMES = {
@@ -119,9 +120,11 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int = 7) -> tuple[
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     w, b = rng.normal(0, 0.1, (DIM, classes)).astype(np.float32), np.zeros(classes, np.float32)
-    size, epochs = 64, int(min(MAX_EPOCHS, max(2, STEPS // max(1, len(texts)))))
+    share = np.bincount(y, minlength=classes) / len(y)
+    weight = np.minimum(4.0, np.sqrt(1 / classes / np.maximum(share, 1e-9))).astype(np.float32)
+    size, epochs = 32, int(min(MAX_EPOCHS, max(2, STEPS // max(1, len(texts)))))
     for epoch in range(epochs):
-        rate = 0.6 / (1 + epoch)
+        rate = 0.6 * (1 - epoch / epochs)
         order = rng.permutation(len(texts))
         for at in range(0, len(order), size):
             part = order[at : at + size]
@@ -133,10 +136,11 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int = 7) -> tuple[
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), y[part]] -= 1
-            back = (p @ w.T) / count[:, None]
-            w -= rate * hidden.T @ p / len(part) * 4
+            p *= weight[y[part], None]
+            back = (p @ w.T) * (EMBEDDING_RATE * rate / count[:, None])
+            w -= (4 * rate / len(part)) * (hidden.T @ p)
             b -= rate * p.sum(axis=0) / len(part)
-            np.subtract.at(emb, idx, (rate * 4) * back[owner])
+            np.subtract.at(emb, idx, back[owner])
     return emb @ w, b
 
 
