@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from functools import lru_cache
 from typing import Any, NamedTuple
 
 from cliplake.llm.peg import Grammar, first, many, opt, seq, term
@@ -50,7 +51,7 @@ note = G.define(
     ),
 )
 speech = G.define("speech", term(r"(?:(?!\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*-->)[^\[(<{*♪♫\d]|\d+(?!\d*:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*-->))+"))
-segment = G.define("segment", seq(opt(head), many(first(stamp, note, speech, G.define("other", term(r"(?s:.)"))))))
+segment = G.define("segment", seq(opt(head), many(first(speech, stamp, note, G.define("other", term(r"(?s:.)"))))))
 
 #: Hesitation sounds, as shapes: any lengthening of them is the same sound.
 SOUNDS = (
@@ -61,7 +62,7 @@ SOUNDS = (
 PHRASES = (r"you\s+know", r"i\s+mean", r"o\s+sea", r"tu\s+vois")
 #: Sounds and phrases in scripts without spaces.
 UNSPACED = (r"嗯+", r"呃+", r"唔+", r"えっと", r"あのー+", r"えーと+", r"うーん+")
-_FILLER = re.compile(r"(?<![\w'’])(?:" + "|".join(SOUNDS + PHRASES) + r")(?![\w])|" + "|".join(UNSPACED), re.I)
+_FILLER = re.compile(r"(?<![\w'’])(?=[aehimuyotäöéэм])(?:" + "|".join(SOUNDS + PHRASES) + r")(?![\w])|" + "|".join(UNSPACED), re.I)
 #: Sounds that are words of some language, with frequent words of that language and of the languages of the sound.
 _WORDS = {
     "um": re.compile(r"\b(?:não|uma|que|você|vocês|para|hoje|ontem|muito|nossa|isso|com|no|na|do|da|ninguém|até|dois|die|der|das|und|ist|nicht|ein|eine|wir|ich)\b", re.I),
@@ -138,7 +139,12 @@ def speaker_name(raw: Any) -> str | None:
     """SPEAKER_nn for numbered speakers, else the bare name in capitals; None where missing or unknown."""
     if raw is None or isinstance(raw, (dict, list, bool)) or raw != raw:
         return None
-    name = unicodedata.normalize("NFKC", str(raw)).strip(" \t\r\n\u200b\ufeff[](){}<>:*\"'")
+    return _named(str(raw))
+
+
+@lru_cache(10_000)
+def _named(raw: str) -> str | None:
+    name = unicodedata.normalize("NFKC", raw).strip(" \t\r\n\u200b\ufeff[](){}<>:*\"'")
     if m := _NUMBER.match(name):
         return f"SPEAKER_{int(m[1]):02d}"
     name = re.sub(r"\s+", " ", name).upper()
@@ -147,7 +153,7 @@ def speaker_name(raw: Any) -> str | None:
 
 def letters(text: str) -> int:
     """Letters and digits (Unicode L and N)."""
-    return sum(c.isalnum() or unicodedata.category(c)[0] in "LN" for c in text)
+    return sum(map(str.isalnum, text))
 
 
 def seconds_ms(value: Any) -> int | None:

@@ -26,7 +26,7 @@ from cliplake.sources.tables import table
 _SEG = pa.struct([("pos", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), ("who", pa.string()), ("n", pa.int64()), ("text", pa.string())])
 _SEG_DDL = "array<struct<pos:int,s:bigint,e:bigint,who:string,n:bigint,text:string>>"
 BUCKET_MS = 300_000
-#: A speaker row or segment is put into so many buckets at most; longer ones get wider buckets (see ``_level``).
+#: Bucket widths, each eight times the one before.
 LEVELS = 6
 
 
@@ -59,50 +59,61 @@ def parsed(transcripts: DataFrame, keep_text: bool = False) -> DataFrame:
     return rows.groupBy("video_id").agg(F.max(F.struct("made", "segs")).alias("r")).select("video_id", "r.segs")
 
 
-def _buckets(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row per time bucket that [start, end) touches, at the level at which it touches two at most."""
-    width = F.greatest(F.col(end) - F.col(start), F.lit(1))
-    level = F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(F.log(8.0, width / F.lit(BUCKET_MS))).cast("int")))
-    return df.withColumn("level", level)
+def _div(a, width):
+    return F.floor(a / width).cast("long")
 
 
-def speakers_of(segments: DataFrame, speaker_rows: DataFrame) -> DataFrame:
-    """video_id, pos, who: the speaker of the row that overlaps the segment longest.
+def _width(level):
+    return F.lit(BUCKET_MS) * F.pow(F.lit(8.0), level).cast("long")
 
-    segments: video_id, pos, s, e. A row that is longer than the bucket goes to a wider level; every segment
-    looks up each level once, so the pairs stay with true neighbours in time.
+
+def with_speakers(segs: DataFrame, speaker_rows: DataFrame) -> DataFrame:
+    """``segs`` (video_id, pos, s, e, who, n, text) with ``speaker``: their own, or that of the row that overlaps longest.
+
+    A speaker row goes to the level of bucket widths at which it touches few buckets; a segment without a
+    speaker looks up each level, so only true neighbours in time meet. All other segments pass through the
+    left join without a partner, and nothing is parsed twice.
     """
-    size = lambda level: F.lit(BUCKET_MS) * F.pow(F.lit(8.0), level).cast("long")
-    div = lambda a, w: F.floor(a / w).cast("long")
     name = F.pandas_udf(lambda s: s.map(lambda v: speaker_name(v) or ""), "string")
     rows = speaker_rows.where("end_sec > start_sec").select(
         "video_id", name("speaker").alias("name"), to_ms(F.col("start_sec")).alias("rs"), to_ms(F.col("end_sec")).alias("re")
     )
-    rows = _buckets(rows.where("rs IS NOT NULL AND re IS NOT NULL"), "rs", "re")
-    rows = rows.withColumn("bucket", F.explode(F.sequence(div(F.col("rs"), size(F.col("level"))), div(F.col("re") - 1, size(F.col("level"))))))
-    far = F.coalesce(F.col("e"), F.col("s") + 8 * BUCKET_MS)
-    segs = segments.where("s IS NOT NULL").withColumn("e", far).where("e > s")
-    segs = segs.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1))))
-    segs = segs.withColumn("bucket", F.explode(F.sequence(div(F.col("s"), size(F.col("level"))), div(F.col("e") - 1, size(F.col("level"))))))
-    pairs = segs.join(rows, ["video_id", "level", "bucket"]).where("rs < e AND re > s")
-    overlap = F.least("e", "re") - F.greatest("s", "rs")
-    best = F.min(F.struct((-overlap).alias("o"), "rs", "name"))
-    return pairs.groupBy("video_id", "pos").agg(best.alias("b")).select("video_id", "pos", F.col("b.name").alias("who"))
+    rows = rows.where("rs IS NOT NULL AND re > rs")
+    long = F.log(8.0, (F.col("re") - F.col("rs")) / F.lit(BUCKET_MS))
+    rows = rows.withColumn("level", F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(long).cast("int"))))
+    width = _width(F.col("level"))
+    rows = rows.withColumn("bucket", F.explode(F.sequence(_div(F.col("rs"), width), _div(F.col("re") - 1, width))))
+    segs = segs.withColumn("far", F.coalesce(F.col("e"), F.col("s") + 8 * BUCKET_MS))
+    slots = F.flatten(
+        F.array(
+            *[
+                F.transform(
+                    F.sequence(_div(F.col("s"), _width(F.lit(k))), _div(F.col("far") - 1, _width(F.lit(k)))),
+                    lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("bucket")),
+                )
+                for k in range(LEVELS)
+            ]
+        )
+    )
+    lost = F.col("who").isNull() & (F.col("far") > F.col("s"))
+    segs = segs.withColumn("slot", F.explode_outer(F.when(lost, slots))).withColumns({"level": F.col("slot.level"), "bucket": F.col("slot.bucket")}).drop("slot")
+    pairs = segs.join(rows, ["video_id", "level", "bucket"], "left")
+    overlap = F.least("far", "re") - F.greatest("s", "rs")
+    best = F.min(F.when(overlap > 0, F.struct((-overlap).alias("o"), "rs", "name")))
+    one = [F.first(c).alias(c) for c in ("who", "n", "text")]
+    found = pairs.groupBy("video_id", "pos").agg(best.alias("best"), *one)
+    return found.select("video_id", "pos", "n", "text", F.coalesce("who", "best.name", F.lit("")).alias("speaker"))
 
 
 def speaker_turns(transcripts: DataFrame, speaker_rows: DataFrame, keep_text: bool = False) -> DataFrame:
     """video_id, turn_no, speaker, n_letters (and text with ``keep_text``)."""
-    segs = parsed(transcripts, keep_text)
-    lost = segs.select("video_id", F.explode(F.filter("segs", lambda x: x["who"].isNull())).alias("x")).select("video_id", "x.pos", "x.s", "x.e")
-    found = speakers_of(lost, speaker_rows).groupBy("video_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "who"))).alias("found"))
-    flat = segs.join(found, "video_id", "left").select("video_id", "found", F.explode("segs").alias("x"))
-    flat = flat.select("video_id", "x.pos", "x.n", "x.text", F.coalesce(F.col("x.who"), F.try_element_at("found", F.col("x.pos")), F.lit("")).alias("speaker"))
+    segs = parsed(transcripts, keep_text).select("video_id", F.explode("segs").alias("x")).select("video_id", "x.*")
+    flat = with_speakers(segs, speaker_rows)
     w = Window.partitionBy("video_id").orderBy("pos")  # the segments of one transcript row
     new = F.when(F.lag("speaker").over(w) == F.col("speaker"), 0).otherwise(1)
     flat = flat.withColumn("new", new).withColumn("turn", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
     extra = [F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("text")] if keep_text else []
-    out = flat.groupBy("video_id", F.col("turn").cast("long").alias("turn_no")).agg(F.first("speaker").alias("speaker"), F.sum("n").alias("n_letters"), *extra)
-    return out
+    return flat.groupBy("video_id", F.col("turn").cast("long").alias("turn_no")).agg(F.first("speaker").alias("speaker"), F.sum("n").alias("n_letters"), *extra)
 
 
 def p4_found(spark, folder: str) -> DataFrame:
