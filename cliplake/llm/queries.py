@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplake.llm import language, turns
+from cliplake.llm import language, packing, runs, tokens, turns
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": language.p2_found,
         "p2_languages": language.p2_languages,
         "p4_found": turns.p4_found,
+        "p7_found": runs.p7_found,
+        "p7_runs": runs.p7_runs,
+        "p8_ids": tokens.p8_ids,
+        "p9_containers": packing.p9_containers,
+        "p9_fill": packing.p9_fill,
     }
 
 
