@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplake.llm import language, packing, runs, tokens, turns
+from cliplake.llm import language, packing, runs, tokens, turns, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p2_found": language.p2_found,
         "p2_languages": language.p2_languages,
         "p4_found": turns.p4_found,
+        "p5_found": unify.p5_found,
+        "p5_forms": unify.p5_forms,
         "p7_found": runs.p7_found,
         "p7_runs": runs.p7_runs,
         "p8_ids": tokens.p8_ids,
