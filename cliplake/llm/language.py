@@ -33,6 +33,8 @@ TARGET_ACCURACY = 0.995
 #: A fit sees about STEPS sentences, in 2 to MAX_EPOCHS passes; FOLD_BLOCK neighbours of the sample share a fold.
 STEPS, MAX_EPOCHS, FOLD_BLOCK = 36_000, 12, 64
 EMBEDDING_RATE = 3.0
+#: Rows parsed and characters scored at a time; a single longer text is still scored whole.
+SLICE_ROWS, SLICE_CHARS = 512, 200_000
 
 #: Customary names and codes: ISO 639-1, then 639-2/3 codes, English and own names.
 NAMES = {
@@ -103,6 +105,16 @@ class Model:
         """texts x classes; a text without letters gets equal shares."""
         if not texts or not self.codes:
             return np.zeros((len(texts), len(self.codes)))
+        slices, at, size = [], 0, 0
+        for i, t in enumerate(texts):  # so many characters at a time that the looked-up rows stay small
+            size += len(t)
+            if size >= SLICE_CHARS:
+                slices.append(texts[at : i + 1])
+                at, size = i + 1, 0
+        slices += [texts[at:]] if at < len(texts) else []
+        return np.concatenate([self._scored(s) for s in slices])
+
+    def _scored(self, texts: list[str]) -> np.ndarray:
         idx, owner = grams(texts)
         order = np.argsort(owner, kind="stable")
         idx, owner = idx[order], owner[order]
@@ -223,7 +235,7 @@ def transcript_languages(transcripts: DataFrame, model: Model) -> DataFrame:
         return np.where(sure >= holder.value.threshold, best, len(codes) - 1), sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
             ids, labels, segments, texts = (c.to_pylist() for c in b.columns)
             spoken: list[str] = []
             where: list[tuple[int, int]] = []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplake.llm import language, packing, runs, tokens, turns, unify
+from cliplake.llm import language, packing, runs, tokens, truncation, turns, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p4_found": turns.p4_found,
         "p5_found": unify.p5_found,
         "p5_forms": unify.p5_forms,
+        "p6_found": truncation.p6_found,
+        "p6_rates": truncation.p6_rates,
         "p7_found": runs.p7_found,
         "p7_runs": runs.p7_runs,
         "p8_ids": tokens.p8_ids,

@@ -32,6 +32,8 @@ BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered per task; a full memory is emptied.
 MEMORY = 500_000
+#: Rows encoded at a time; the words of earlier ones are remembered.
+SLICE_ROWS = 1024
 
 
 @lru_cache(4)
@@ -126,7 +128,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab)
-        for b in batches:
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
             ids = encoder.encode(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
@@ -139,7 +141,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab)
-        for b in batches:
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
             sizes = [None if i is None else len(i) for i in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], [key, "n_tokens"])
 

@@ -26,6 +26,8 @@ from cliplake.sources.tables import table
 _SEG = pa.struct([("pos", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), ("who", pa.string()), ("n", pa.int64()), ("text", pa.string())])
 _SEG_DDL = "array<struct<pos:int,s:bigint,e:bigint,who:string,n:bigint,text:string>>"
 BUCKET_MS = 300_000
+#: Transcripts parsed at a time.
+SLICE_ROWS = 1024
 #: Bucket widths, each eight times the one before.
 LEVELS = 6
 
@@ -49,7 +51,7 @@ def parsed(transcripts: DataFrame, keep_text: bool = False) -> DataFrame:
     """video_id, segs: of each video's latest transcript."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
             _, _, segments, texts = (c.to_pylist() for c in b.columns)
             segs = [ordered_segments(j, t, keep_text) for j, t in zip(segments, texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(segs, pa.list_(_SEG))], ["video_id", "made", "segs"])
@@ -84,17 +86,12 @@ def with_speakers(segs: DataFrame, speaker_rows: DataFrame) -> DataFrame:
     width = _width(F.col("level"))
     rows = rows.withColumn("bucket", F.explode(F.sequence(_div(F.col("rs"), width), _div(F.col("re") - 1, width))))
     segs = segs.withColumn("far", F.coalesce(F.col("e"), F.col("s") + 8 * BUCKET_MS))
-    slots = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    F.sequence(_div(F.col("s"), _width(F.lit(k))), _div(F.col("far") - 1, _width(F.lit(k)))),
-                    lambda x, k=k: F.struct(F.lit(k).alias("level"), x.alias("bucket")),
-                )
-                for k in range(LEVELS)
-            ]
-        )
-    )
+
+    def at_level(k: int):
+        low, high = _div(F.col("s"), _width(F.lit(k))), _div(F.col("far") - 1, _width(F.lit(k)))
+        return F.transform(F.sequence(low, high), lambda x: F.struct(F.lit(k).alias("level"), x.alias("bucket")))
+
+    slots = F.flatten(F.array(*[at_level(k) for k in range(LEVELS)]))
     lost = F.col("who").isNull() & (F.col("far") > F.col("s"))
     segs = segs.withColumn("slot", F.explode_outer(F.when(lost, slots))).withColumns({"level": F.col("slot.level"), "bucket": F.col("slot.bucket")}).drop("slot")
     pairs = segs.join(rows, ["video_id", "level", "bucket"], "left")
