@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cliplake.llm import language, packing, runs, tokens, truncation, turns, unify
+from cliplake.llm import language, packing, runs, subjects, tokens, truncation, turns, unify
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": tokens.p8_ids,
         "p9_containers": packing.p9_containers,
         "p9_fill": packing.p9_fill,
+        "p10_found": subjects.p10_found,
+        "p10_shares": subjects.p10_shares,
+        "p10_composition": subjects.p10_composition,
     }
 
 
