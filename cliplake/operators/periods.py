@@ -106,3 +106,17 @@ def p1_found(spark, folder: str) -> DataFrame:
     speech = table(spark, folder, "speaker_segments").select("video_id", F.lit("").alias("track"), "start_sec", "end_sec")
     both = events.withColumn("source", F.lit("audio_events")).unionByName(speech.withColumn("source", F.lit("speaker_segments")))
     return merge_periods(both, ["source", "video_id", "track"])
+
+
+#: The same in SQL (the running maximum over a whole track; no shards).
+P1_SQL = """WITH types AS (SELECT DISTINCT event_type, regexp_replace(lower(event_type), '[^a-z]', '', 'g') AS k FROM audio_labels),
+spans AS (SELECT 'audio_events' AS source, e.video_id, coalesce(t.event_type, trim(e.event_type), '') AS track, start_sec, end_sec
+    FROM audio_events e LEFT JOIN types t ON regexp_replace(lower(e.event_type), '[^a-z]', '', 'g') = t.k
+  UNION ALL SELECT 'speaker_segments', video_id, '', start_sec, end_sec FROM speaker_segments),
+ms AS (SELECT source, video_id, track, CAST(round(start_sec * 1000) AS BIGINT) AS s, CAST(round(end_sec * 1000) AS BIGINT) AS e FROM spans WHERE end_sec > start_sec),
+reach AS (SELECT *, max(e) OVER (PARTITION BY source, video_id, track ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM ms),
+isl AS (SELECT *, sum(CASE WHEN s <= r THEN 0 ELSE 1 END) OVER (PARTITION BY source, video_id, track ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM reach),
+per AS (SELECT source, video_id, track, i, min(s) AS start_ms, max(e) AS end_ms FROM isl GROUP BY source, video_id, track, i),
+gaps AS (SELECT source, video_id, track, lag(end_ms) OVER (PARTITION BY source, video_id, track ORDER BY start_ms) AS a, start_ms AS b FROM per)
+SELECT source, video_id, track, 'period' AS kind, start_ms, end_ms FROM per
+UNION ALL SELECT source, video_id, track, 'gap', a, b FROM gaps WHERE b - a < 3600000"""

@@ -7,14 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cliplake.operators import nested, periods
+from cliplake.plans import reference
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": periods.p1_found,
         "p3_found": nested.p3_found,
+        **reference.QUERIES,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": periods.P1_SQL, **reference.SQL}
