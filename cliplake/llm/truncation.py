@@ -28,6 +28,7 @@ from cliplake.llm.unify import LOOK_ALIKES
 from cliplake.sources.tables import table
 
 GRAMS = (12, 8, 5, 3)
+PIECE = 240
 NEIGHBOURS, FALSE_DISCOVERY, MIN_EXCESS = 8, 0.01, 3.0
 #: At a significant length, an ending that ends fewer of its other occurrences is taken for a cut one.
 NATURAL_AT_LIMIT = 0.25
@@ -134,15 +135,20 @@ def truncated(values: DataFrame) -> DataFrame:
     v = v.withColumn("text", F.rtrim(F.regexp_replace(F.regexp_replace(_fold("value"), MARK, ""), "[\ufffd\u200d]+$", "")))
     rows = v.select("text", "suspect")
 
-    # Every position of every value: what follows its last n characters, and what follows each word.
+    # Every position of every value: what follows its last n characters, and what follows each word. Long
+    # values are read in pieces, as a position of a long string is only found by counting from its start.
+    lead = F.least(F.col("c"), F.lit(max(GRAMS) - 1))
+    pieces = rows.where("text != ''").select("suspect", "text", F.length("text").alias("size"), F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(PIECE))).alias("c"))
+    pieces = pieces.select("suspect", lead.alias("lead"), F.least(F.lit(PIECE), F.col("size") - F.col("c")).alias("ends"), F.substring(F.col("text"), F.col("c") - lead + 1, lead + PIECE + 1).alias("piece"))
+
     def windows(n: int) -> Column:
-        def one(e: Column) -> Column:
-            gram = F.substring(F.col("text"), e - n + 1, F.lit(n))
-            return F.struct(F.lit(n).alias("n"), gram.alias("gram"), F.substring(F.col("text"), e + 1, F.lit(1)).alias("nxt"))
+        def one(j: Column) -> Column:
+            return F.struct(F.lit(n).alias("n"), F.substring(F.col("piece"), j - n + 1, F.lit(n)).alias("gram"), F.substring(F.col("piece"), j + 1, F.lit(1)).alias("nxt"))
 
-        return F.transform(F.when(F.length("text") >= n, F.sequence(F.lit(n), F.length("text"))).otherwise(F.array()), one)
+        first, last = F.greatest(F.col("lead") + 1, F.lit(n)), F.col("lead") + F.col("ends")
+        return F.transform(F.when(last >= first, F.sequence(first, last)).otherwise(F.array()), one)
 
-    after = _continuations(rows, F.flatten(F.array(*[windows(n) for n in GRAMS])), ["n", "gram"])
+    after = _continuations(pieces, F.flatten(F.array(*[windows(n) for n in GRAMS])), ["n", "gram"])
     words = F.split("text", r"\s+")
     after_word = _continuations(rows, F.transform(words, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("nxt"))), ["word"])
 

@@ -96,7 +96,8 @@ def with_speakers(segs: DataFrame, speaker_rows: DataFrame) -> DataFrame:
     segs = segs.withColumn("slot", F.explode_outer(F.when(lost, slots))).withColumns({"level": F.col("slot.level"), "bucket": F.col("slot.bucket")}).drop("slot")
     pairs = segs.join(rows, ["video_id", "level", "bucket"], "left")
     overlap = F.least("far", "re") - F.greatest("s", "rs")
-    best = F.min(F.when(overlap > 0, F.struct((-overlap).alias("o"), "rs", "name")))
+    # least and greatest skip NULLs, so a segment without a partner must be told apart
+    best = F.min(F.when(F.col("rs").isNotNull() & (overlap > 0), F.struct((-overlap).alias("o"), "rs", "name")))
     one = [F.first(c).alias(c) for c in ("who", "n", "text")]
     found = pairs.groupBy("video_id", "pos").agg(best.alias("best"), *one)
     return found.select("video_id", "pos", "n", "text", F.coalesce("who", "best.name", F.lit("")).alias("speaker"))
