@@ -65,16 +65,24 @@ UNSPACED = (r"嗯+", r"呃+", r"唔+", r"えっと", r"あのー+", r"えーと+
 _FILLER = re.compile(r"(?<![\w'’])(?=[aehimuyotäöéэм])(?:" + "|".join(SOUNDS + PHRASES) + r")(?![\w])|" + "|".join(UNSPACED), re.I)
 #: Sounds that are words of some language, with frequent words of that language and of the languages of the sound.
 _WORDS = {
-    "um": re.compile(r"\b(?:não|uma|que|você|vocês|para|hoje|ontem|muito|nossa|isso|com|no|na|do|da|ninguém|até|dois|die|der|das|und|ist|nicht|ein|eine|wir|ich)\b", re.I),
-    "er": re.compile(r"\b(?:die|der|das|und|ist|nicht|ein|eine|wir|ich|für|wenn|man|zu)\b", re.I),
+    "um": re.compile(
+        r"\b(?:não|uma|que|você|vocês|para|hoje|ontem|amanhã|muito|nossa|isso|isto|com|na|da|dos|das|de|ninguém|até|dois|duas|depois|antes|logo|bem|então|já|também|só|foi|era|ser|ter|tem|há|quando|como"
+        r"|porque|por|mais|mas|se|em|ao|pelo|pela|meu|minha|seu|sua|este|esta|esse|essa|ele|ela|eu|nós|lá|aqui|noite|dia|ano|semana|gente|alguém|die|der|das|den|dem|und|ist|nicht|ein|eine|wir|ich|zu|für|mit|auf)\b",
+        re.I,
+    ),
+    "er": re.compile(r"\b(?:die|der|das|den|dem|und|ist|nicht|ein|eine|wir|ich|für|wenn|man|zu|hat|mit|auf|dass|aber|auch)\b", re.I),
 }
-_ENGLISH = re.compile(r"\b(?:the|of|and|to|you|we|is|was|this|that|with|for|it|are|i|my|what|if|at|be)\b", re.I)
+_ENGLISH = re.compile(
+    r"\b(?:the|of|and|to|you|we|is|was|this|that|with|for|it|are|i|my|what|if|at|be|in|on|so|not|have|has|had|been|there|here|they|them|our|your|me|us|an|about|how|when|than|then|all|some|most|more|will|would|should"
+    r"|could|can|from|by|but|or|do|did|does|were|one|two|out|up|too|very|just|still|never|next|last|first|let|look|take|wait|tell|please|honestly|thanks|today|tomorrow|tonight|yesterday)\b",
+    re.I,
+)
 _HINT = re.compile(r"[\[(<{*♪♫:：（【＜>]|—|–|^\s*-")
 
 
 def _is_filler(m: re.Match, text: str) -> bool:
     own = _WORDS.get(m[0].lower())
-    return own is None or len(own.findall(text)) <= len(_ENGLISH.findall(text))
+    return own is None or len(own.findall(text)) < max(1, len(_ENGLISH.findall(text)))
 
 
 def without_fillers(text: str) -> str:

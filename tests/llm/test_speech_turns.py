@@ -45,7 +45,7 @@ def test_deep_and_long_text():
 
 @pytest.mark.parametrize(
     ("text", "n"),
-    [("Um, so uhhh... you know, it is", 6), ("Erm.", 0), ("um intervalo bem curtinho não", 25), ("Eeeh o sea, mañana", 6), ("嗯嗯，说实话", 3), ("えっと、今日は", 3), ("Э-э... завтра", 6), ("Tu vois, euuuh c'est", 4), ("umbrella term", 12), ("Hm. Äääh ja", 2)],
+    [("Um, so uhhh... you know, it is", 6), ("Erm.", 0), ("um intervalo bem curtinho não", 25), ("Voltamos logo depois de um intervalo bem curtinho.", 42), ("Er ist heute da", 12), ("Um.", 0), ("It is, um, like er that", 12), ("Eeeh o sea, mañana", 6), ("嗯嗯，说实话", 3), ("えっと、今日は", 3), ("Э-э... завтра", 6), ("Tu vois, euuuh c'est", 4), ("umbrella term", 12), ("Hm. Äääh ja", 2)],
 )
 def test_fillers(text, n):
     assert S.letters(S.without_fillers(text)) == n
