@@ -150,7 +150,8 @@ def truncated(values: DataFrame) -> DataFrame:
 
     after = _continuations(pieces, F.flatten(F.array(*[windows(n) for n in GRAMS])), ["n", "gram"])
     words = F.split("text", r"\s+")
-    after_word = _continuations(rows, F.transform(words, lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get(words, i + 1), F.lit("")).alias("nxt"))), ["word"])
+    pairs = F.transform("words", lambda w, i: F.struct(w.alias("word"), F.coalesce(F.get("words", i + 1), F.lit("")).alias("nxt")))
+    after_word = _continuations(rows.select("suspect", words.alias("words")), pairs, ["word"])
 
     own = (~F.col("suspect")).cast("int").alias("self")
     ends = F.array(*[F.struct(F.lit(n).alias("n"), F.expr(f"right(text, {n})").alias("gram")) for n in GRAMS])

@@ -117,9 +117,11 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
     )
     comp = F.broadcast(spark.createDataFrame(compositions(), "cluster string, composed string"))
     v = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull() & ~plain(F.col("value"))).distinct()
-    at = v.select("value", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(.)"), 1)).alias("pos", "ch"))
+    # The characters carry a digest of their value, not the value: a long one would be repeated per character.
+    v = v.withColumn("vid", F.unhex(F.md5("value")))
+    at = v.select("vid", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(.)"), 1)).alias("pos", "ch"))
     at = at.join(chars, "ch", "left").withColumn("kind", F.coalesce("kind", F.lit(""))).withColumn("ccc", F.coalesce("ccc", F.lit(0)))
-    by_pos = Window.partitionBy("value").orderBy("pos")
+    by_pos = Window.partitionBy("vid").orderBy("pos")
     # Joiners and selectors belong to an emoji if the visible character before them does, or another part of it.
     joiner = F.col("ch").isin("\u200d", "\ufe0f", "\ufe0e")
     emoji = (F.col("kind") == "emoji") | F.col("ch").rlike(r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{2BFF}]|[#*0-9]|\x{200D}|\x{FE0F}")
@@ -129,34 +131,39 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
     # Words: letters, digits, marks; invisible characters do not end a word.
     inner = F.coalesce("letter", F.col("ch").rlike(r"[\p{L}\p{N}\p{M}]")) | (F.col("kind") == "invisible")
     at = at.withColumn("word", F.sum(F.when(inner, 0).otherwise(1)).over(by_pos.rowsBetween(Window.unboundedPreceding, 0)))
-    in_word = Window.partitionBy("value", "word")
+    in_word = Window.partitionBy("vid", "word")
     twin = F.col("latin").isNotNull()
-    count = lambda s, own: F.sum(F.when((F.col("script") == s) & (~twin if own else F.lit(True)), 1).otherwise(0)).over(in_word)
-    for s in "LCG":
-        at = at.withColumn(f"own{s}", count(s, True)).withColumn(f"all{s}", count(s, False))
-    # The word's script: the one with most letters of its own look; without such, with most letters; Latin on ties.
-    rank = lambda s, tie: F.struct(F.col(f"own{s}").alias("o"), F.col(f"all{s}").alias("a"), F.lit(tie).alias("t"), F.lit(s).alias("s"))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).over(in_word)
+    forms = {"L": F.col("latin"), "C": F.col("cyr"), "G": F.col("grk")}
+    for s, form in forms.items():
+        mine = F.col("script") == s
+        at = at.withColumn(f"own{s}", count(mine & ~twin)).withColumn(f"all{s}", count(mine))
+        at = at.withColumn(f"bad{s}", count(F.col("script").isin(*forms) & ~mine & form.isNull()))
+    # The word's script: one in which every letter has a form; of those the one with most letters of its own
+    # look, then with most letters; Latin on ties.
+    rank = lambda s, tie: F.struct((F.col(f"bad{s}") == 0).alias("fits"), F.col(f"own{s}").alias("o"), F.col(f"all{s}").alias("a"), F.lit(tie).alias("t"), F.lit(s).alias("s"))
     at = at.withColumn("main", F.greatest(rank("L", 2), rank("C", 1), rank("G", 0))["s"])
     target = F.when(F.col("main") == "L", F.col("latin")).when(F.col("main") == "C", F.col("cyr")).otherwise(F.col("grk"))
-    swapped = twin & (F.col("script") != F.col("main")) & target.isNotNull() & (F.col(f"allL") + F.col("allC") + F.col("allG") > 0)
+    mixed = F.col("allL").cast("boolean").cast("int") + F.col("allC").cast("boolean").cast("int") + F.col("allG").cast("boolean").cast("int") > 1
+    swapped = twin & mixed & (F.col("script") != F.col("main")) & target.isNotNull()
     at = at.withColumn("swap", swapped).withColumn("parts", F.when(swapped, target).otherwise(F.col("parts")))
     # Decompose, order marks by class within their cluster, recompose.
-    sub = at.select("value", "pos", "kind", "swap", F.posexplode(F.regexp_extract_all("parts", F.lit(r"(?s)(.)"), 1)).alias("sub", "c"))
+    sub = at.select("vid", "pos", "kind", "swap", F.posexplode(F.regexp_extract_all("parts", F.lit(r"(?s)(.)"), 1)).alias("sub", "c"))
     marks = chars.select(F.col("ch").alias("c"), F.col("ccc").alias("cls"))
     sub = sub.join(F.broadcast(marks), "c", "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
-    by_sub = Window.partitionBy("value").orderBy("pos", "sub")
+    by_sub = Window.partitionBy("vid").orderBy("pos", "sub")
     sub = sub.withColumn("cluster_no", F.sum(F.when(F.col("cls") == 0, 1).otherwise(0)).over(by_sub.rowsBetween(Window.unboundedPreceding, 0)))
     ordered = F.sort_array(F.collect_list(F.struct("cls", "pos", "sub", "c")))
-    joined = sub.groupBy("value", "cluster_no").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("cluster"), F.max(F.col("cls")).alias("top"), F.count("*").alias("n"))
+    joined = sub.groupBy("vid", "cluster_no").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("cluster"), F.max(F.col("cls")).alias("top"), F.count("*").alias("n"))
     joined = joined.join(comp, "cluster", "left")
     # Clusters with further marks than a composed letter holds are composed one by one: exact, and rare.
     rest = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFC", x) if x else x), "string")
     joined = joined.withColumn("composed", F.coalesce("composed", F.when((F.col("top") > 0) & (F.col("n") > 1), rest(F.when((F.col("top") > 0) & (F.col("n") > 1), F.col("cluster")))), "cluster"))
-    form = joined.groupBy("value").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster_no", "composed"))), lambda x: x["composed"]), "").alias("form"))
+    form = joined.groupBy("vid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster_no", "composed"))), lambda x: x["composed"]), "").alias("form"))
     # A case: a changed character of one of the named kinds, or an accent that could have been composed.
     hit = F.col("swap") | F.col("kind").isin("invisible", "space", "form")
-    flags = at.groupBy("value").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.bool_or(F.col("kind") == "mark").alias("marks"))
-    out = flags.join(form, "value", "left").withColumn("form", F.coalesce("form", F.lit("")))
+    flags = at.groupBy("vid").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.bool_or(F.col("kind") == "mark").alias("marks"))
+    out = flags.join(form, "vid", "left").join(v, "vid").withColumn("form", F.coalesce("form", F.lit("")))
     return out.select("value", "form", (F.col("hit") | (F.col("marks") & (F.col("form") != F.col("value")))).alias("found"))
 
 

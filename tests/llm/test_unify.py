@@ -14,6 +14,9 @@ CASES = {
     "q̣̇": None,
     "q̣̇x": "q̣̇x",
     "ΚΕRΝEL": "KERNEL",
+    "THE NЕХТ": "THE NEXT",
+    "CΟΝ": "CON",
+    "АNО": "ANO",
     "é‍x": "éx",
 }
 PLAIN = ["Тихий двор", "夜市ノート", "次の配信！", "👨‍👩‍👧 ok", "❤️ x", "π ≈ 3", "№ 5 → 20°C", "Señor Müde", "Ελλάδα", "한국어", "½ ™ ²", "THE CHANNEL Π", "", "plain", None]
