@@ -30,6 +30,8 @@ from cliplake.sources.tables import table
 GRAMS = (12, 8, 5, 3)
 PIECE = 240
 NEIGHBOURS, FALSE_DISCOVERY, MIN_EXCESS = 8, 0.01, 3.0
+#: A limit ends a good share of all values that get as far; a length at which titles of one pattern meet does not.
+MIN_HAZARD = 0.2
 #: At a significant length, an ending that ends fewer of its other occurrences is taken for a cut one.
 NATURAL_AT_LIMIT = 0.25
 #: Elsewhere an ending is incomplete only if it (nearly) never ends a value and (nearly) always goes on in one way.
@@ -93,7 +95,7 @@ def hazards(values: DataFrame) -> DataFrame:
     ranked = counts.withColumn("rank", F.row_number().over(own.orderBy("p_value", "length"))).withColumn("m", F.count("*").over(own))
     passes = F.col("p_value") <= F.col("rank") / F.col("m") * FALSE_DISCOVERY
     last = F.max(F.when(passes, F.col("rank"))).over(own)
-    significant = (F.col("rank") <= last) & (F.col("hazard") >= MIN_EXCESS * F.col("near"))
+    significant = (F.col("rank") <= last) & (F.col("hazard") >= MIN_EXCESS * F.col("near")) & (F.col("hazard") >= MIN_HAZARD)
     return ranked.withColumn("significant", F.coalesce(significant, F.lit(False))).drop("rank", "m")
 
 
