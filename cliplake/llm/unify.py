@@ -116,9 +116,10 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
         spark.createDataFrame(characters(), "ch string, kind string, parts string, ccc int, script string, latin string, cyr string, grk string, letter boolean")
     )
     comp = F.broadcast(spark.createDataFrame(compositions(), "cluster string, composed string"))
-    v = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull() & ~plain(F.col("value"))).distinct()
+    v = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull() & ~plain(F.col("value")))
     # The characters carry a digest of their value, not the value: a long one would be repeated per character.
-    v = v.withColumn("vid", F.unhex(F.md5("value")))
+    # Grouping by the digest leaves the rows where all windows below want them: the one shuffle of values.
+    v = v.withColumn("vid", F.unhex(F.md5("value"))).groupBy("vid").agg(F.first("value").alias("value"))
     at = v.select("vid", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(.)"), 1)).alias("pos", "ch"))
     at = at.join(chars, "ch", "left").withColumn("kind", F.coalesce("kind", F.lit(""))).withColumn("ccc", F.coalesce("ccc", F.lit(0)))
     by_pos = Window.partitionBy("vid").orderBy("pos")
@@ -147,23 +148,26 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
     mixed = F.col("allL").cast("boolean").cast("int") + F.col("allC").cast("boolean").cast("int") + F.col("allG").cast("boolean").cast("int") > 1
     swapped = twin & mixed & (F.col("script") != F.col("main")) & target.isNotNull()
     at = at.withColumn("swap", swapped).withColumn("parts", F.when(swapped, target).otherwise(F.col("parts")))
-    # Decompose, order marks by class within their cluster, recompose.
-    sub = at.select("vid", "pos", "kind", "swap", F.posexplode(F.regexp_extract_all("parts", F.lit(r"(?s)(.)"), 1)).alias("sub", "c"))
+    # A case: a changed character of one of the named kinds, or an accent that could have been composed.
+    at = at.withColumn("hit", F.coalesce(F.col("swap") | F.col("kind").isin("invisible", "space", "form"), F.lit(False)))
+    # Decompose, order marks by class within their cluster, recompose. Characters that go keep a row without a
+    # letter, for their flag.
+    sub = at.select("vid", "pos", "hit", (F.col("kind") == "mark").alias("mark"), F.posexplode_outer(F.regexp_extract_all("parts", F.lit(r"(?s)(.)"), 1)).alias("sub", "c"))
     marks = chars.select(F.col("ch").alias("c"), F.col("ccc").alias("cls"))
     sub = sub.join(F.broadcast(marks), "c", "left").withColumn("cls", F.coalesce("cls", F.lit(0)))
     by_sub = Window.partitionBy("vid").orderBy("pos", "sub")
-    sub = sub.withColumn("cluster_no", F.sum(F.when(F.col("cls") == 0, 1).otherwise(0)).over(by_sub.rowsBetween(Window.unboundedPreceding, 0)))
-    ordered = F.sort_array(F.collect_list(F.struct("cls", "pos", "sub", "c")))
-    joined = sub.groupBy("vid", "cluster_no").agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("cluster"), F.max(F.col("cls")).alias("top"), F.count("*").alias("n"))
+    starts = F.when(F.col("c").isNotNull() & (F.col("cls") == 0), 1).otherwise(0)
+    sub = sub.withColumn("cluster_no", F.sum(starts).over(by_sub.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = F.sort_array(F.collect_list(F.when(F.col("c").isNotNull(), F.struct("cls", "pos", "sub", "c"))))
+    joined = sub.groupBy("vid", "cluster_no").agg(
+        F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("cluster"), F.max("cls").alias("top"), F.count("c").alias("n"), F.bool_or("hit").alias("hit"), F.bool_or("mark").alias("mark")
+    )
     joined = joined.join(comp, "cluster", "left")
     # Clusters with further marks than a composed letter holds are composed one by one: exact, and rare.
     rest = F.pandas_udf(lambda s: s.map(lambda x: unicodedata.normalize("NFC", x) if x else x), "string")
     joined = joined.withColumn("composed", F.coalesce("composed", F.when((F.col("top") > 0) & (F.col("n") > 1), rest(F.when((F.col("top") > 0) & (F.col("n") > 1), F.col("cluster")))), "cluster"))
-    form = joined.groupBy("vid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster_no", "composed"))), lambda x: x["composed"]), "").alias("form"))
-    # A case: a changed character of one of the named kinds, or an accent that could have been composed.
-    hit = F.col("swap") | F.col("kind").isin("invisible", "space", "form")
-    flags = at.groupBy("vid").agg(F.bool_or(F.coalesce(hit, F.lit(False))).alias("hit"), F.bool_or(F.col("kind") == "mark").alias("marks"))
-    out = flags.join(form, "vid", "left").join(v, "vid").withColumn("form", F.coalesce("form", F.lit("")))
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cluster_no", "composed"))), lambda x: x["composed"]), "")
+    out = joined.groupBy("vid").agg(whole.alias("form"), F.bool_or("hit").alias("hit"), F.bool_or("mark").alias("marks")).join(v, "vid")
     return out.select("value", "form", (F.col("hit") | (F.col("marks") & (F.col("form") != F.col("value")))).alias("found"))
 
 
