@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A single-node session for tests and the benchmark."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("cliplake")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -23,6 +23,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:

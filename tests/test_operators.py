@@ -172,3 +172,13 @@ def test_text_sources(spark):
     got = [tuple(r) for r in browse_entries(lines, "youtube").collect()]
     assert got == [("youtube", "q", "https://www.youtube.com/watch?v=q", "T", "", 3.0, ""), ("youtube", "z", "w", "", "c", 0.0, "")]
     assert label_list(spark.createDataFrame([], "label string"), 3).orderBy("class_no").collect()[2].label == "class_2"
+
+
+def test_bounded_sample(spark):
+    from cliplake.operators.sampling import bounded_sample
+
+    df = spark.range(50_000).selectExpr("id", "id % 7 AS _h")
+    want = [r.id for r in df.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    assert [r.id for r in bounded_sample(df, ["id"], 300).collect()] == want
+    assert bounded_sample(df.limit(20), ["id"], 300).count() == 20
+    assert bounded_sample(df.limit(0), ["id"], 300).count() == 0
