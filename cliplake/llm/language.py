@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplake.llm.speech import letters, read_segments, stored_segments
+from cliplake.operators.sampling import bounded_sample
 from cliplake.sources.tables import table
 
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3)
@@ -201,16 +202,16 @@ _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
 
 def training_samples(transcripts: DataFrame, examples: DataFrame) -> list[tuple[str, str]]:
     """(code, sentence): TRAIN_ROWS labelled transcripts by hash of the id, and the labelled examples."""
-    rows = transcripts.where("language IS NOT NULL AND text_full IS NOT NULL").select("language", "text_full", F.xxhash64("video_id", "text_full").alias("h"))
+    rows = transcripts.where("language IS NOT NULL AND text_full IS NOT NULL").select("video_id", "language", "text_full")
     out = []
-    for r in rows.orderBy("h").limit(TRAIN_ROWS).collect():
+    for r in bounded_sample(rows, ["video_id", "language"], TRAIN_ROWS).collect():
         code = language_code(r.language)
         if code is None:
             continue
         spoken = " ".join(s.spoken for s in read_segments(None, r.text_full))
         parts = [s.strip() for s in _SENTENCE.findall(spoken) if letters(s) >= 6]
         out += [(code, s) for s in parts[:: max(1, len(parts) // TRAIN_SENTENCES)][:TRAIN_SENTENCES]]
-    for r in examples.select("lang", "text", F.xxhash64("text").alias("h")).orderBy("h").limit(TRAIN_ROWS).collect():
+    for r in bounded_sample(examples.select("lang", "text"), ["text", "lang"], TRAIN_ROWS).collect():
         if (code := language_code(r.lang)) and r.text:
             out += [(code, s.strip()) for s in _SENTENCE.findall(r.text)]
     return out
