@@ -210,3 +210,19 @@ def p7_runs(spark, folder: str) -> DataFrame:
 def p7_found(spark, folder: str) -> DataFrame:
     """Runs of at least two events."""
     return p7_runs(spark, folder).where("n_events >= 2").select("video_id", "first_event_id", "n_events")
+
+
+_WIDE = "".join(chr(c) for c in (*range(0xFF10, 0xFF1A), *range(0xFF21, 0xFF3B), *range(0xFF41, 0xFF5B)))
+_NARROW = "".join(chr(ord(c) - 0xFEE0) for c in _WIDE)
+_KEY = "regexp_replace(lower(translate({0}, '" + _WIDE + "', '" + _NARROW + "')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+#: The same in SQL: nearest label by edits with swaps, then neighbouring equal meanings.
+P7_SQL = f"""WITH spelled AS (SELECT DISTINCT label, {_KEY.format('label')} AS k FROM audio_events WHERE trim(coalesce(label, '')) <> ''),
+known AS (SELECT DISTINCT label AS name, {_KEY.format('label')} AS k FROM audio_labels),
+near AS (SELECT s.label, k.name, damerau_levenshtein(s.k, k.k) AS d, CASE WHEN length(s.k) < 8 THEN 1 ELSE 2 END AS most FROM spelled s, known k),
+ranked AS (SELECT label, name, d, row_number() OVER (PARTITION BY label ORDER BY d, name) AS r, count(*) OVER (PARTITION BY label, d) AS ties FROM near WHERE d <= most),
+meant AS (SELECT s.label, CASE WHEN r.name IS NOT NULL AND (d = 0 OR ties = 1) THEN 'L' || r.name ELSE 'L?' || s.k END AS m FROM spelled s LEFT JOIN ranked r ON r.label = s.label AND r.r = 1),
+e AS (SELECT DISTINCT a.video_id, CAST(round(start_sec * 1000) AS BIGINT) AS s, a.id, coalesce(meant.m, 'T' || {_KEY.format('a.event_type')}) AS m
+  FROM audio_events a LEFT JOIN meant ON meant.label = a.label WHERE a.video_id IS NOT NULL AND start_sec IS NOT NULL),
+f AS (SELECT *, CASE WHEN lag(m) OVER w = m THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY video_id ORDER BY s, id)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY s, id ROWS UNBOUNDED PRECEDING) AS run FROM f)
+SELECT video_id, arg_min(id, (s, id)) AS first_event_id, count(*) AS n_events FROM g GROUP BY video_id, run HAVING count(*) >= 2"""

@@ -189,3 +189,17 @@ def p5_forms(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with a value that looks ordinary and is not."""
     return p5_forms(spark, folder).where("found").select("source_field", "record_key").distinct()
+
+
+_CG = "".join(o for others in LOOK_ALIKES.values() for o in others)
+_LT = "".join(LOOK_ALIKES)
+_EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{2BFF}]"
+_IN = r"[\p{L}\p{N}\p{M}]*"
+#: The cases in SQL, by patterns over the text without whole emoji (no forms, only whether a value is a case).
+P5_SQL = f"""WITH v AS (SELECT 'videos.title' AS source_field, id AS record_key, title AS t FROM videos UNION ALL SELECT 'videos.uploader', id, uploader FROM videos
+  UNION ALL SELECT 'vision_descriptions.text_in_frame', CAST(keyframe_id AS VARCHAR), text_in_frame FROM vision_descriptions),
+w AS (SELECT *, regexp_replace(t, '{_EMOJI}(\\x{{FE0F}}|\\x{{200D}}{_EMOJI}\\x{{FE0F}}?)*', '', 'g') AS e FROM v WHERE t IS NOT NULL),
+x AS (SELECT *, regexp_replace(e, '[\\p{{Cf}}]', '', 'g') AS b FROM w)
+SELECT DISTINCT source_field, record_key FROM x WHERE regexp_matches(e, '[\\p{{Cf}}\\x{{FE0F}}\\x{{FE0E}}]') OR regexp_matches(e, '[\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]')
+  OR nfc_normalize(t) <> t OR regexp_matches(t, '[０-９Ａ-Ｚａ-ｚﬀ-ﬆ]')
+  OR regexp_matches(b, '\\p{{Latin}}{_IN}[{_CG}]|[{_CG}]{_IN}\\p{{Latin}}|[{_LT}]{_IN}[\\p{{Cyrillic}}\\p{{Greek}}]|[\\p{{Cyrillic}}\\p{{Greek}}]{_IN}[{_LT}]')"""
