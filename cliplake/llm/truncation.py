@@ -35,7 +35,7 @@ MIN_HAZARD = 0.2
 #: At a significant length, an ending that ends fewer of its other occurrences is taken for a cut one.
 NATURAL_AT_LIMIT = 0.25
 #: Elsewhere an ending is incomplete only if it (nearly) never ends a value and (nearly) always goes on in one way.
-RARE_END, MOSTLY, NEVER = 0.02, 0.95, 0.003
+RARE_END, MOSTLY, NEVER = 0.02, 0.95, 0.008
 MARK = r"(?:\.{2,}|…)\s*$"
 _TO_LATIN = {ord(o): latin for latin, others in LOOK_ALIKES.items() for o in others}
 
