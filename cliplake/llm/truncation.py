@@ -35,7 +35,7 @@ MIN_HAZARD = 0.2
 #: At a significant length, an ending that ends fewer of its other occurrences is taken for a cut one.
 NATURAL_AT_LIMIT = 0.25
 #: Elsewhere an ending is incomplete only if it (nearly) never ends a value and (nearly) always goes on in one way.
-RARE_END, MOSTLY, NEVER = 0.02, 0.95, 0.008
+RARE_END, MOSTLY, NEVER = 0.04, 0.95, 0.008
 MARK = r"(?:\.{2,}|…)\s*$"
 _TO_LATIN = {ord(o): latin for latin, others in LOOK_ALIKES.items() for o in others}
 
@@ -170,10 +170,10 @@ def truncated(values: DataFrame) -> DataFrame:
     lettered = F.col("text").rlike(r"[\p{L}\p{M}]$") & ~unspaced
     rare_end = share("g.ends", "g.total") <= RARE_END
     tag = F.col("text").rlike(r"#\S*$")  # a tag is free to end anywhere a known one does, so it needs more evidence
-    in_word = lettered & rare_end & (share("g.letters", "g.total") >= MOSTLY) & (F.col("g.total") >= F.when(tag, 16).when(F.col("g.n") < 8, 12).otherwise(4))
+    in_word = lettered & rare_end & (share("g.letters", "g.total") >= MOSTLY) & (F.col("g.total") >= F.when(tag, 16).when(F.col("g.n") < 8, 12).otherwise(5))
     in_phrase = unspaced & rare_end & (share("g.top", "g.total") >= MOSTLY)
     open_word = rare_end & (F.col("w.total") >= 100) & (share("w.ends", "w.total") < NEVER)
-    half_name = rare_end & (F.col("w.total") >= 6) & (F.col("w.ends") == 0) & (share("w.top", "w.total") >= MOSTLY)
+    half_name = rare_end & (F.col("w.total") >= 12) & (F.col("w.ends") == 0) & (share("w.top", "w.total") >= MOSTLY)
     incomplete = in_word | in_phrase | (lettered & (open_word | half_name))
     natural = F.col("g.ends") / F.col("g.total")
     v = v.withColumn("natural", natural).withColumn("incomplete", F.coalesce(incomplete, F.lit(False)))
