@@ -6,7 +6,7 @@ words of the batch, merges are applied in rank order to all their occurrences at
 neighbours change the index. Words already seen by the task are remembered (bounded). There is no shuffle
 and nothing goes to the driver; the vocabulary is a fixed file every executor reads from its own path.
 
-Defined results: a NULL text has NULL ids, an empty text has an empty list; repeated rows repeat; texts
+Defined results: a NULL text and an empty text have an empty list of ids; repeated rows repeat; texts
 are encoded whole, without special tokens (their names are ordinary text).
 """
 
@@ -129,7 +129,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab)
         for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
-            ids = encoder.encode(b.column(1).to_pylist())
+            ids = [i or [] for i in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
     rows = df.select(key, text)
@@ -137,12 +137,12 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", vocab:
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocab: str = f"{TOKENIZERS}/{BYTE_BPE_50K}") -> DataFrame:
-    """``key``, n_tokens (NULL for a NULL text)."""
+    """``key``, n_tokens (0 for a NULL text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocab)
         for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
-            sizes = [None if i is None else len(i) for i in encoder.encode(b.column(1).to_pylist())]
+            sizes = [len(i or ()) for i in encoder.encode(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], [key, "n_tokens"])
 
     rows = df.select(key, text)
