@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cliplake.llm.unify import LOOK_ALIKES
+from cliplake.session import written
 from cliplake.sources.tables import table
 
 GRAMS = (12, 8, 5, 3)
+FEW_SOURCES = 10_000
 PIECE = 240
 NEIGHBOURS, FALSE_DISCOVERY, MIN_EXCESS = 8, 0.01, 3.0
 #: A limit ends a good share of all values that get as far; a length at which titles of one pattern meet does not.
@@ -128,13 +130,17 @@ def _continuations(rows: DataFrame, position: Column, keys: list[str]) -> DataFr
 def truncated(values: DataFrame) -> DataFrame:
     """key, source, value, at_limit, marked, natural, cut; of (key, source, value), one row per key."""
     v = values.where("value IS NOT NULL AND trim(value) != ''")
-    # At most one row per source, with as many lengths as the field is long.
-    v = v.join(_limits(v), "source", "left")
+    limits = _limits(v)
+    few = limits.limit(FEW_SOURCES + 1).collect()
+    if len(few) <= FEW_SOURCES:  # one row per source: sent to all tasks if they are few, else joined like any table
+        limits = F.broadcast(v.sparkSession.createDataFrame(few, limits.schema))
+    v = v.join(limits, "source", "left")
     at = F.coalesce(F.array_contains("chars", F.length("value")), F.lit(False)) | F.coalesce(F.array_contains("bytes", F.octet_length(F.regexp_replace("value", "\ufffd+$", ""))), F.lit(False))
     v = v.withColumn("at_limit", at).drop("chars", "bytes")
     v = v.withColumn("marked", F.col("value").rlike(MARK)).withColumn("broken", F.col("value").rlike("[\ufffd\u200d]$"))
     v = v.withColumn("suspect", F.col("at_limit") | F.col("broken"))
     v = v.withColumn("text", F.rtrim(F.regexp_replace(F.regexp_replace(_fold("value"), MARK, ""), "[\ufffd\u200d]+$", "")))
+    v = written(v, "endings")  # it is read five times below
     rows = v.select("text", "suspect")
 
     # Every position of every value: what follows its last n characters, and what follows each word. Long
