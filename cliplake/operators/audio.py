@@ -59,10 +59,11 @@ def merge_adjacent(events: DataFrame, tolerance: float = 0.5) -> DataFrame:
     )
 
 
-def audio_timeline(merged: DataFrame, durations: DataFrame) -> DataFrame:
+def audio_timeline(merged: DataFrame, durations: DataFrame, seconds: bool = False) -> DataFrame:
     """Per video with a duration: seconds of music and silence as shares, the longest type (first seen on ties).
 
     ``durations``: video_id, duration_sec. A missing, zero or negative duration gives the defaults.
+    With ``seconds`` also music_sec, silence_sec and duration_sec.
     """
     span = F.col("end_sec") - F.col("start_sec")
     by_type = merged.groupBy("video_id", "event_type").agg(F.sum(span).alias("sec"), F.min(F.struct("start_sec", "island")).alias("first"))
@@ -81,6 +82,7 @@ def audio_timeline(merged: DataFrame, durations: DataFrame) -> DataFrame:
         ratio("music").alias("music_ratio"),
         ratio("silence").alias("silence_ratio"),
         F.coalesce(F.when(ok, F.col("dominant")), F.lit("")).alias("dominant_type"),
+        *([F.col("music").alias("music_sec"), F.col("silence").alias("silence_sec"), "duration_sec"] if seconds else []),
     )
 
 

@@ -508,13 +508,9 @@ _TL = """G AS (SELECT video_id, event_type, sum(end_sec - start_sec) AS sec, min
 def audio_timeline(spark, d):
     """The ratios are rounded to two digits for the comparison; the operator gives three, half to even."""
     dur = videos(spark, d).select(F.col("id").alias("video_id"), "duration_sec")
-    merged = audio.merge_adjacent(events(spark, d))
-    span = F.col("end_sec") - F.col("start_sec")
-    t = audio.audio_timeline(merged, dur)
-    raw = merged.groupBy("video_id").agg(F.sum(F.when(F.col("event_type") == "music", span).otherwise(0.0)).alias("m"), F.sum(F.when(F.col("event_type") == "silence", span).otherwise(0.0)).alias("s"))
-    t = t.join(raw, "video_id", "left").join(dur, "video_id")
+    t = audio.audio_timeline(audio.merge_adjacent(events(spark, d)), dur, seconds=True)
     two = lambda c: F.round(F.coalesce(F.when(F.col("duration_sec") > 0, F.col(c) / F.col("duration_sec")), F.lit(0.0)), 2)
-    return t.select("video_id", "has_music", two("m").alias("music_ratio"), two("s").alias("silence_ratio"), "dominant_type")
+    return t.select("video_id", "has_music", two("music_sec").alias("music_ratio"), two("silence_sec").alias("silence_ratio"), "dominant_type")
 
 
 @query(with_sql(_E, _M, _TL) + "SELECT video_id, dominant AS dominant_type FROM H")
