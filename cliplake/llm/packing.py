@@ -8,7 +8,7 @@ more than SLACK of their space free are regrouped across groups and searched aga
 
 Defined results: NULL and empty texts have no tokens and are in no container; an item beyond the capacity is
 cut into full pieces and a rest, and only the rest is packed with others; repeated items are items of their
-own; a capacity that is NULL or not positive is left out. Every token of every document is in exactly one
+own; a window without a name or with a capacity that is NULL or not positive is left out. Every token of every document is in exactly one
 container.
 """
 
@@ -24,7 +24,11 @@ from cliplake.llm.tokens import token_counts
 from cliplake.session import written
 from cliplake.sources.tables import table
 
-GROUP_ITEMS, SLACK, LEVELS, PASSES = 4096, 0.005, 4, 40
+GROUP_ITEMS, SLACK, LEAST_GAIN = 4096, 0.005, 1e-5
+#: A level that closes a smaller share of its items than this is the last.
+WORTH = 0.1
+#: Containers come in few sizes: each is a factor of the items, so a longer table is refused.
+MOST_WINDOWS = 1000
 
 
 class _Pool:
@@ -75,102 +79,122 @@ def _best_fit(order: list[int], sizes: list[int], capacity: int) -> list[list[in
     return bins
 
 
-def pack(sizes: list[int], capacity: int) -> list[int]:
-    """The container of each item; sizes are between 1 and capacity."""
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-    bins = _best_fit(order, sizes, capacity)
-    fill = [sum(sizes[i] for i in b) for b in bins]
-    for _ in range(PASSES):
-        under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
-        if len(under) < 2:
-            break
-        donors = under[: max(1, len(under) // 8)]
-        pool, home = _Pool(), {}
-        for d in donors:
-            for i in bins[d]:
-                pool.add(sizes[i], i)
-                home[i] = d
-        changed = False
-
-        def give(item: int, to: int) -> None:
-            bins[home[item]].remove(item)
-            fill[home[item]] -= sizes[item]
-            bins[to].append(item)
-            fill[to] += sizes[item]
-
-        def back(item: int, from_: int, to: int) -> None:
-            bins[from_].remove(item)
-            fill[from_] -= sizes[item]
-            bins[to].append(item)
-            fill[to] += sizes[item]
-            home[item] = to
-            pool.add(sizes[item], item)
-
-        for k in reversed(under[len(donors) :]):
-            while (room := capacity - fill[k]) and pool.mask:
-                if s := pool.up_to(room):  # move
-                    give(pool.take(s), k)
-                    changed = True
-                    continue
-                best = None  # (gain, own items, sizes from the pool)
-                own = sorted(bins[k], key=lambda i: sizes[i])
-                for n, b in enumerate(own):
-                    if n and sizes[b] == sizes[own[n - 1]]:
-                        continue
-                    s = pool.up_to(sizes[b] + room)  # one for one
-                    if s > sizes[b] and (best is None or s - sizes[b] > best[0]):
-                        best = (s - sizes[b], [b], [s])
-                    if best is not None and best[0] == room:
-                        break
-                if best is None or best[0] < room:
-                    for n, b in enumerate(own):
-                        for c in own[n + 1 :]:  # one for two
-                            both = sizes[b] + sizes[c]
-                            s = pool.up_to(min(both + room, capacity))
-                            if s > both and (best is None or s - both > best[0]):
-                                best = (s - both, [b, c], [s])
-                        for s in list(pool.items)[:64]:  # two for one
-                            if best is not None and best[0] == room:
-                                break
-                            rest = sizes[b] + room - s
-                            t = pool.up_to(rest) if rest > 0 else 0
-                            if t == s and len(pool.items[s]) < 2:
-                                t = pool.up_to(s - 1)
-                            if t and s + t > sizes[b] and (best is None or s + t - sizes[b] > best[0]):
-                                best = (s + t - sizes[b], [b], [s, t])
-                        if best is not None and best[0] == room:
-                            break
-                if best is None:
+def _pairs(pool: _Pool) -> int:
+    """The set of sums of two items of the pool, as bits."""
+    found = 0
+    for s, held in pool.items.items():
+        found |= (pool.mask if len(held) > 1 else pool.mask & ~(1 << s)) << s
+    return found
+
+
+def _exchange(own: list[int], room: int, capacity: int, pool: _Pool) -> tuple[list[int], list[int]] | None:
+    """(sizes that leave, sizes that come from the pool) of the exchange that gains most, None if none gains."""
+    best, gain = None, 0
+    for b in own:  # one for one
+        if (g := pool.up_to(b + room) - b) > gain:
+            best, gain = ([b], [b + g]), g
+            if gain == room:
+                return best
+    pairs = _pairs(pool)
+    for b in own:  # two for one
+        under = pairs & ((1 << (b + room + 1)) - 1)
+        if (g := under.bit_length() - 1 - b) > gain:
+            s = next(s for s, held in pool.items.items() if s < b + g and pool.mask >> (b + g - s) & 1 and (2 * s != b + g or len(held) > 1))
+            best, gain = ([b], [s, b + g - s]), g
+            if gain == room:
+                return best
+    for n, b in enumerate(own):  # one for two
+        for c in own[n + 1 :]:
+            if (g := pool.up_to(min(b + c + room, capacity)) - b - c) > gain:
+                best, gain = ([b, c], [b + c + g]), g
+                if gain == room:
+                    return best
+    return best
+
+
+def _search(sizes: list[int], capacity: int, bins: list[list[int]], fill: list[int]) -> None:
+    """One pass: underfull containers, the fullest first, take from the emptiest eighth of them, which is then packed anew."""
+    under = sorted((k for k in range(len(bins)) if bins[k] and fill[k] < capacity), key=lambda k: (fill[k], k))
+    if len(under) < 2:
+        return
+    donors = under[: max(1, len(under) // 8)]
+    pool, home = _Pool(), {}
+    for d in donors:
+        for i in bins[d]:
+            pool.add(sizes[i], i)
+            home[i] = d
+
+    def shift(item: int, a: int, b: int) -> None:
+        bins[a].remove(item)
+        bins[b].append(item)
+        fill[a] -= sizes[item]
+        fill[b] += sizes[item]
+
+    for k in reversed(under[len(donors) :]):
+        while (room := capacity - fill[k]) and pool.mask:
+            if s := pool.up_to(room):  # move
+                i = pool.take(s)
+                shift(i, home.pop(i), k)
+                continue
+            found = _exchange(sorted(sizes[i] for i in bins[k]), room, capacity, pool)
+            if found is None:
+                break
+            leave, come = found
+            taken = [pool.take(s) for s in come]
+            goes: list[int] = []
+            for s in leave:
+                goes.append(next(i for i in bins[k] if sizes[i] == s and i not in goes))
+            free = {d: capacity - fill[d] for d in donors}
+            for i in taken:
+                free[home[i]] += sizes[i]
+            to = []  # what leaves goes to the donor in which it leaves least room
+            for i in reversed(goes):
+                near = [d for d in donors if free[d] >= sizes[i]]
+                if not near:
                     break
-                taken = [pool.take(s) for s in best[2]]
+                to.append((i, d := min(near, key=lambda d: (free[d], d))))
+                free[d] -= sizes[i]
+            if len(to) < len(goes):  # nothing has moved yet
                 for i in taken:
-                    give(i, k)
-                fits = True
-                for b in best[1]:  # what comes back goes to the donor it leaves least room in
-                    near = [d for d in donors if fill[d] + sizes[b] <= capacity]
-                    if not near:
-                        fits = False
-                        break
-                    back(b, k, max(near, key=lambda d: (fill[d], d)))
-                if not fits:  # undo: the items return to where they were
-                    for i in taken:
-                        back(i, k, home[i])
-                    break
-                changed = True
-        left = [i for d in donors for i in bins[d]]
-        again = _best_fit(sorted(left, key=lambda i: (-sizes[i], i)), sizes, capacity)
-        if len(again) < sum(1 for d in donors if bins[d]):
-            changed = True
-        for d in donors:
-            bins[d], fill[d] = [], 0
-        for d, b in zip(donors, again):
-            bins[d], fill[d] = b, sum(sizes[i] for i in b)
-        if not changed:
+                    pool.add(sizes[i], i)
+                break
+            for i in taken:
+                shift(i, home.pop(i), k)
+            for i, d in to:
+                shift(i, k, d)
+                home[i] = d
+                pool.add(sizes[i], i)
+    left = [i for d in donors for i in bins[d]]
+    again = _best_fit(sorted(left, key=lambda i: (-sizes[i], i)), sizes, capacity)
+    filled = [sum(sizes[i] for i in b) for b in again]
+    score = lambda f: (-sum(1 for x in f if x), sum(x * x for x in f))
+    if score(filled) > score([fill[d] for d in donors]):  # never more containers than the donors were
+        for n, d in enumerate(donors):
+            bins[d], fill[d] = (again[n], filled[n]) if n < len(again) else ([], 0)
+
+
+def pack(sizes: list[int], capacity: int) -> list[int]:
+    """The container of each item; sizes are between 1 and capacity.
+
+    Passes go on while they empty containers or raise the sum of squared fills by more than LEAST_GAIN of it.
+    """
+    bins = _best_fit(sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), sizes, capacity)
+    fill = [sum(sizes[i] for i in b) for b in bins]
+    used, squares = len(bins), sum(f * f for f in fill)
+    while True:
+        before, was = used, squares
+        _search(sizes, capacity, bins, fill)
+        used, squares = sum(1 for b in bins if b), sum(f * f for f in fill)
+        if used >= before and squares <= was * (1 + LEAST_GAIN):
             break
-    out = [0] * len(sizes)
+    out = [-1] * len(sizes)
     for n, b in enumerate(b for b in bins if b):
+        if sum(sizes[i] for i in b) > capacity:
+            raise AssertionError("a container exceeds its capacity")
         for i in b:
             out[i] = n
+    if -1 in out:
+        raise AssertionError("an item is in no container")
     return out
 
 
@@ -201,31 +225,43 @@ def _grouped(items: DataFrame, counts: dict[str, int]) -> DataFrame:
 def containers(sizes: DataFrame, windows: DataFrame) -> DataFrame:
     """sizes (doc_id, n_tokens) and windows (window_name, capacity_tokens) -> window_name, capacity, container_id, doc_id, piece, n_tokens.
 
-    The windows are a fixed small table; the number of groups of a level is its only figure on the driver.
+    The windows are a small table (refused above MOST_WINDOWS rows) and go into the plan as an array; the
+    number of items of a level is its only other figure on the driver. Levels go on while more than one group
+    is open and the level before closed at least WORTH of its items.
     """
-    wins = windows.where("capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
-    items = sizes.where("n_tokens > 0").crossJoin(F.broadcast(wins))  # three windows: a factor, not a product of the data
+    wins = windows.where("window_name IS NOT NULL AND capacity_tokens > 0").select("window_name", F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
+    rows = wins.limit(MOST_WINDOWS + 1).collect()
+    if len(rows) > MOST_WINDOWS:
+        raise ValueError("the table of container sizes must stay small")
+    names = ["window_name", "capacity", "container_id", "doc_id", "piece", "n_tokens"]
+    known = [F.struct(F.lit(r.window_name).alias("window_name"), F.lit(r.capacity).alias("capacity")) for r in sorted(rows)]
+    known = F.array(*known) if known else F.array().cast("array<struct<window_name:string,capacity:int>>")
+    items = sizes.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(known).alias("w")).select("doc_id", "n_tokens", "w.*")
     full = F.floor((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")
     items = items.withColumn("piece", F.explode(F.sequence(F.lit(0), full)))
     items = items.withColumn("n_tokens", F.least("capacity", F.col("n_tokens") - F.col("piece") * F.col("capacity")).cast("int"))
     items = items.select("window_name", "capacity", "doc_id", "piece", "n_tokens")
     whole = items.where("n_tokens = capacity").withColumn("container_id", F.concat_ws(".", F.lit("full"), "doc_id", "piece"))
     open_items = written(items.where("n_tokens < capacity"), "pack-items")
-    done = [whole]
-    for level in range(1, LEVELS + 1):
-        counts = {r[0]: r[1] for r in open_items.groupBy("window_name").count().collect()}
-        if not counts:
-            break
+    counts = _counts(open_items)
+    done, level = [whole], 0
+    while counts:
+        level += 1
         packed = written(_pack_level(_grouped(open_items, counts), level), "pack-level")
-        last = level == LEVELS or max(counts.values()) <= GROUP_ITEMS
-        done.append(packed if last else packed.where("NOT open"))
-        if last:
+        still = packed.where("open").select("window_name", "capacity", "doc_id", "piece", "n_tokens")
+        after = _counts(still) if max(counts.values()) > GROUP_ITEMS else {}
+        if not after or sum(after.values()) > (1 - WORTH) * sum(counts.values()):
+            done.append(packed)
             break
-        open_items = packed.where("open").select("window_name", "capacity", "doc_id", "piece", "n_tokens")
-    names = ["window_name", "capacity", "container_id", "doc_id", "piece", "n_tokens"]
+        done.append(packed.where("NOT open"))
+        open_items, counts = still, after
     return reduce(DataFrame.unionByName, [d.select(names) for d in done])
 
 
+def _counts(items: DataFrame) -> dict[str, int]:
+    return {r[0]: r[1] for r in items.groupBy("window_name").count().collect()}
+
+
 def p9_containers(spark, folder: str) -> DataFrame:
     """Every piece of every non-empty document in its container, for each context window."""
     sizes = written(token_counts(table(spark, folder, "documents")), "pack-sizes")

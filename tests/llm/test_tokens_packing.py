@@ -58,6 +58,37 @@ def test_pack_random():
             assert len(fill) <= max(least, big) * 1.02 + 1
 
 
+def test_pack_like_sized_items():
+    """Items of about a third of the capacity, where packing donors anew may need more containers than they were."""
+    r = random.Random(11)
+    for _ in range(600):
+        capacity = r.choice([100, 500, 2048])
+        sizes = [max(1, int(capacity * r.uniform(0.30, 0.36))) for _ in range(r.choice([5, 60, 300]))]
+        where, fill = pack(sizes, capacity), {}
+        for s, b in zip(sizes, where):
+            fill[b] = fill.get(b, 0) + s
+        assert max(fill.values()) <= capacity and sum(fill.values()) == sum(sizes)
+
+
+def test_exchange_is_exhaustive():
+    from cliplake.llm.packing import _exchange, _Pool
+
+    r = random.Random(2)
+    for _ in range(300):
+        capacity = 60
+        own = sorted(r.randint(1, 20) for _ in range(r.randint(1, 3)))
+        room = capacity - sum(own)
+        held = [r.randint(1, 40) for _ in range(r.randint(0, 6))]
+        pool = _Pool()
+        for i, s in enumerate(held):
+            pool.add(s, i)
+        gains = [s - b for b in own for s in held] + [s - b - c for n, b in enumerate(own) for c in own[n + 1 :] for s in held if s <= capacity]
+        gains += [s + t - b for b in own for n, s in enumerate(held) for t in held[n + 1 :]]
+        best = max([g for g in gains if 0 < g <= room], default=0)
+        found = _exchange(own, room, capacity, pool)
+        assert (sum(found[1]) - sum(found[0]) if found else 0) == best
+
+
 def test_local_search_beats_best_fit():
     from cliplake.llm.packing import _best_fit
 
@@ -74,7 +105,7 @@ def test_containers(spark):
     r = random.Random(7)
     docs = [(i, r.choice([None, 0, 1, 5, *[int(r.lognormvariate(4.5, 1.2)) for _ in range(9)]])) for i in range(6000)] + [(9999, 5000), (9998, 512)]
     sizes = spark.createDataFrame(docs, "doc_id bigint, n_tokens bigint")
-    wins = spark.createDataFrame([("s", 256), ("l", 1024), ("bad", None), ("zero", 0)], "window_name string, capacity_tokens int")
+    wins = spark.createDataFrame([("s", 256), ("l", 1024), ("l", 1024), ("bad", None), ("zero", 0), (None, 9)], "window_name string, capacity_tokens int")
     got = containers(sizes, wins).collect()
     for w, cap in (("s", 256), ("l", 1024)):
         fill, per = {}, {}
@@ -89,4 +120,4 @@ def test_containers(spark):
         total = sum(n or 0 for _, n in docs)
         assert len(fill) <= -(-total // cap) * 1.02 + 1
     assert {x.window_name for x in got} == {"s", "l"}
-    assert containers(sizes.limit(0), wins).count() == 0
+    assert containers(sizes.limit(0), wins).count() == containers(sizes, wins.limit(0)).count() == 0
