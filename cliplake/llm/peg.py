@@ -1,8 +1,10 @@
 """Parsing-expression grammars: ordered choice, greedy repetition, no backtracking into a success.
 
 An expression is a function ``(text, position) -> (position, nodes) | None``. A node is
-``(rule, start, end, children)``; only named rules make nodes. Depth is bounded by MAX_DEPTH: beyond it a
-nested rule simply fails, so the enclosing text is taken as plain characters.
+``(rule, start, end, children)``; only named rules make nodes. The outcome of a rule at a position is kept for
+the whole parse (packrat), so no rule is tried twice at one place. A rule that contains itself names the
+characters that open it: it is then parsed at every opener from the last to the first, so the rules inside are
+always known already, and neither time nor depth grows with the nesting.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from collections.abc import Callable
 
 Node = tuple[str, int, int, list]
 Expr = Callable[[str, int], "tuple[int, list[Node]] | None"]
-MAX_DEPTH = 40
 
 
 def term(pattern: str) -> Expr:
@@ -63,35 +64,39 @@ def many(part: Expr) -> Expr:
     return run
 
 
-def ahead(part: Expr) -> Expr:
-    return lambda text, at: (at, []) if part(text, at) is not None else None
-
-
 class Grammar:
     """Named rules that may refer to one another before they are defined."""
 
     def __init__(self) -> None:
         self.rules: dict[str, Expr] = {}
-        self.depth = 0
+        self.opened: list[tuple[str, re.Pattern]] = []
+        self.known: dict[tuple[str, int], tuple[int, list[Node]] | None] = {}
 
-    def define(self, name: str, body: Expr) -> Expr:
+    def define(self, name: str, body: Expr, openers: str | None = None) -> Expr:
+        """``openers``: the pattern of the characters at which a rule that contains itself may begin."""
         self.rules[name] = body
+        if openers:
+            self.opened.append((name, re.compile(openers)))
         return self.ref(name)
 
     def ref(self, name: str) -> Expr:
         def run(text: str, at: int):
-            if self.depth >= MAX_DEPTH:
-                return None
-            self.depth += 1
-            try:
+            key = (name, at)
+            if key not in self.known:
                 r = self.rules[name](text, at)
-            finally:
-                self.depth -= 1
-            return None if r is None else (r[0], [(name, at, r[0], r[1])])
+                self.known[key] = None if r is None else (r[0], [(name, at, r[0], r[1])])
+            return self.known[key]
 
         return run
 
     def parse(self, name: str, text: str) -> Node | None:
-        self.depth = 0
-        r = self.ref(name)(text, 0)
-        return r[1][0] if r else None
+        self.known = {}
+        try:
+            for rule, openers in self.opened:
+                again = self.ref(rule)
+                for at in [m.start() for m in openers.finditer(text)][::-1]:
+                    again(text, at)
+            r = self.ref(name)(text, 0)
+            return r[1][0] if r else None
+        finally:
+            self.known = {}

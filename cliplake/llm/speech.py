@@ -49,9 +49,10 @@ note = G.define(
         term(r"\*[^*\n]{1,80}\*"),
         term(r"[♪♫]+"),
     ),
+    openers=r"[\[({<]",
 )
-speech = G.define("speech", term(r"(?:(?!\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*-->)[^\[(<{*♪♫\d]|\d+(?!\d*:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*-->))+"))
-segment = G.define("segment", seq(opt(head), many(first(speech, stamp, note, G.define("other", term(r"(?s:.)"))))))
+speech = G.define("speech", term(r"(?:(?!\d{1,3}:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*-->)[^\[(<{*♪♫\d]|\d++(?!:\d{2}(?::\d{2})?(?:[.,]\d+)?\s*-->))+"))
+segment = G.define("segment", seq(opt(head), many(first(speech, stamp, note, G.define("other", term(r"\d+(?=\d{3}:\d)|(?s:.)"))))))
 
 #: Hesitation sounds, as shapes: any lengthening of them is the same sound.
 SOUNDS = (
@@ -80,7 +81,20 @@ _ENGLISH = re.compile(
 _HINT = re.compile(r"[\[(<{*♪♫:：（【＜>]|—|–|^\s*-")
 
 
+#: Where a phrase is part of the sentence: after an auxiliary the verb must follow, and what follows it is no verb.
+_AUXILIARY = re.compile(r"\b(?:do|does|did|don['’]?t|doesn['’]?t|didn['’]?t|should|would|could|can|will|must|may|might)\s+$", re.I)
+_OBJECT = re.compile(
+    r"\s+(?:the|a|an|this|that|these|those|it|them|him|her|me|us|my|your|his|their|our|how|what|why|who|where|when|whether|which|if|about|of|some|any|anyone|anything|someone|something)\b", re.I
+)
+_WHAT, _COPULA = re.compile(r"\bwhat\s+$", re.I), re.compile(r"\s+(?:is|was|by|here)\b", re.I)
+
+
 def _is_filler(m: re.Match, text: str) -> bool:
+    if m[0][:1] in "yYiI" and len(m[0]) > 5:
+        before, after = text[max(0, m.start() - 16) : m.start()], text[m.end() : m.end() + 16]
+        if m[0][:1] in "yY":
+            return not (_AUXILIARY.search(before) and _OBJECT.match(after))
+        return not (_WHAT.search(before) and _COPULA.match(after))
     own = _WORDS.get(m[0].lower())
     return own is None or len(own.findall(text)) < max(1, len(_ENGLISH.findall(text)))
 

@@ -6,9 +6,11 @@ rows, so a video with very many of them is spread over time buckets. Turns are r
 
 Defined results: of several rows of a video the latest counts (NULL times first; ties: greatest segments);
 NULL or empty segments_json means the raw text holds, NULL or empty text means no turns; exact repeats of a
-segment count once; segments without a start take the place after the one before them; a segment that no
-valid speaker row overlaps has speaker ''; of equal overlaps the earliest row wins, then the first name.
-NULL video ids are dropped. Extra columns are ignored. Texts are processed whole.
+segment count once; segments without a start take the place after the one before them; a segment without an
+end is open for OPEN_END_MS; one whose end is not after its start, or without a start, has no speaker of its
+own to find (''), and so has one that no valid speaker row overlaps; of equal overlaps the earliest row wins,
+then the first name. Times beyond 9e12 seconds are no times. NULL video ids are dropped. Extra columns are
+ignored. Texts are processed whole.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 
 from cliplake.functions.clean import to_ms
 from cliplake.llm.speech import letters, read_segments, speaker_name
+from cliplake.session import written
 from cliplake.sources.tables import table
 
 _SEG = pa.struct([("pos", pa.int32()), ("s", pa.int64()), ("e", pa.int64()), ("who", pa.string()), ("n", pa.int64()), ("text", pa.string())])
@@ -28,8 +31,10 @@ _SEG_DDL = "array<struct<pos:int,s:bigint,e:bigint,who:string,n:bigint,text:stri
 BUCKET_MS = 300_000
 #: Transcripts parsed at a time.
 SLICE_ROWS = 1024
-#: Bucket widths, each eight times the one before.
-LEVELS = 6
+#: Bucket widths, each eight times the one before; the last one holds any time there is.
+LEVELS = 14
+#: A segment without an end lasts so long.
+OPEN_END_MS = 40 * 60_000
 
 
 def ordered_segments(segments_json: str | None, text_full: str | None, keep_text: bool = False) -> list[dict]:
@@ -69,44 +74,54 @@ def _width(level):
     return F.lit(BUCKET_MS) * F.pow(F.lit(8.0), level).cast("long")
 
 
+def _level(length):
+    """The level at which an interval of this length touches at most two buckets."""
+    k = F.ceil(F.log(8.0, length / F.lit(BUCKET_MS))).cast("int")
+    return F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.coalesce(k, F.lit(0))))
+
+
+def _slots(start, end, levels):
+    """(level, bucket) of every bucket that the interval touches at each of the levels."""
+    at = lambda k: F.transform(F.sequence(_div(start, _width(k)), _div(end - 1, _width(k))), lambda x: F.struct(k.alias("level"), x.alias("bucket")))
+    return F.explode(F.flatten(F.transform(levels, at)))
+
+
 def with_speakers(segs: DataFrame, speaker_rows: DataFrame) -> DataFrame:
     """``segs`` (video_id, pos, s, e, who, n, text) with ``speaker``: their own, or that of the row that overlaps longest.
 
-    A speaker row goes to the level of bucket widths at which it touches few buckets; a segment without a
-    speaker looks up each level, so only true neighbours in time meet. All other segments pass through the
-    left join without a partner, and nothing is parsed twice.
+    Both sides have the level of bucket widths at which they touch at most two buckets, and a pair meets at
+    the greater of its two levels: so a segment of any length has few look-ups, and only true neighbours in
+    time meet. Segments look up their own level and those above it that any row has; rows are also put on the
+    levels above their own that any segment without a speaker has (none, as long as segments are short).
+    All other segments pass through the left join without a partner.
     """
     name = F.pandas_udf(lambda s: s.map(lambda v: speaker_name(v) or ""), "string")
     rows = speaker_rows.where("end_sec > start_sec").select(
         "video_id", name("speaker").alias("name"), to_ms(F.col("start_sec")).alias("rs"), to_ms(F.col("end_sec")).alias("re")
     )
-    rows = rows.where("rs IS NOT NULL AND re > rs")
-    long = F.log(8.0, (F.col("re") - F.col("rs")) / F.lit(BUCKET_MS))
-    rows = rows.withColumn("level", F.least(F.lit(LEVELS - 1), F.greatest(F.lit(0), F.ceil(long).cast("int"))))
-    width = _width(F.col("level"))
-    rows = rows.withColumn("bucket", F.explode(F.sequence(_div(F.col("rs"), width), _div(F.col("re") - 1, width))))
-    segs = segs.withColumn("far", F.coalesce(F.col("e"), F.col("s") + 8 * BUCKET_MS))
-
-    def at_level(k: int):
-        low, high = _div(F.col("s"), _width(F.lit(k))), _div(F.col("far") - 1, _width(F.lit(k)))
-        return F.transform(F.sequence(low, high), lambda x: F.struct(F.lit(k).alias("level"), x.alias("bucket")))
-
-    slots = F.flatten(F.array(*[at_level(k) for k in range(LEVELS)]))
-    lost = F.col("who").isNull() & (F.col("far") > F.col("s"))
-    segs = segs.withColumn("slot", F.explode_outer(F.when(lost, slots))).withColumns({"level": F.col("slot.level"), "bucket": F.col("slot.bucket")}).drop("slot")
-    pairs = segs.join(rows, ["video_id", "level", "bucket"], "left")
+    rows = rows.where("rs IS NOT NULL AND re > rs").withColumn("own", _level(F.col("re") - F.col("rs")))
+    segs = segs.withColumn("far", F.coalesce(F.col("e"), F.col("s") + OPEN_END_MS))
+    segs = segs.withColumn("own", F.when(F.col("who").isNull() & (F.col("far") > F.col("s")), _level(F.col("far") - F.col("s"))))
+    # At most LEVELS numbers from each side.
+    there = lambda df: sorted(r[0] for r in df.select("own").where("own IS NOT NULL").distinct().collect())
+    of_rows, of_segs = there(rows), there(segs)
+    levels = lambda found: F.filter(F.array(*[F.lit(k) for k in found]).cast("array<int>"), lambda k: k > F.col("own"))
+    own = F.array(F.col("own"))
+    rows = rows.withColumn("slot", _slots(F.col("rs"), F.col("re"), F.concat(own, levels(of_segs))))
+    rows = rows.select("video_id", "name", "rs", "re", F.col("own").alias("r_own"), "slot.level", "slot.bucket")
+    lost = segs.where("own IS NOT NULL").withColumn("slot", _slots(F.col("s"), F.col("far"), F.concat(own, levels(of_rows))))
+    lost = lost.select("video_id", "pos", "s", "far", "own", "slot.level", "slot.bucket")
+    pairs = lost.join(rows, ["video_id", "level", "bucket"]).where(F.col("level") == F.greatest("own", "r_own"))
     overlap = F.least("far", "re") - F.greatest("s", "rs")
-    # least and greatest skip NULLs, so a segment without a partner must be told apart
-    best = F.min(F.when(F.col("rs").isNotNull() & (overlap > 0), F.struct((-overlap).alias("o"), "rs", "name")))
-    one = [F.first(c).alias(c) for c in ("who", "n", "text")]
-    found = pairs.groupBy("video_id", "pos").agg(best.alias("best"), *one)
+    best = pairs.where(overlap > 0).groupBy("video_id", "pos").agg(F.min(F.struct((-overlap).alias("o"), "rs", "name")).alias("best"))
+    found = segs.join(best, ["video_id", "pos"], "left")
     return found.select("video_id", "pos", "n", "text", F.coalesce("who", "best.name", F.lit("")).alias("speaker"))
 
 
 def speaker_turns(transcripts: DataFrame, speaker_rows: DataFrame, keep_text: bool = False) -> DataFrame:
     """video_id, turn_no, speaker, n_letters (and text with ``keep_text``)."""
-    segs = parsed(transcripts, keep_text).select("video_id", F.explode("segs").alias("x")).select("video_id", "x.*")
-    flat = with_speakers(segs, speaker_rows)
+    segs = written(parsed(transcripts, keep_text), "segments")  # parsed once, read three times
+    flat = with_speakers(segs.select("video_id", F.explode("segs").alias("x")).select("video_id", "x.*"), speaker_rows)
     w = Window.partitionBy("video_id").orderBy("pos")  # the segments of one transcript row
     new = F.when(F.lag("speaker").over(w) == F.col("speaker"), 0).otherwise(1)
     flat = flat.withColumn("new", new).withColumn("turn", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)

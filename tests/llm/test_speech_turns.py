@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 
@@ -43,6 +44,22 @@ def test_deep_and_long_text():
     assert S.letters(u.spoken) >= 80_000
 
 
+def test_unclosed_brackets_take_no_time():
+    began = time.time()
+    for text in ("([" * 500, "([{<" * 2000, "(x" * 3000, "1" * 20_000 + ":00 -->", "((((a))" * 500):
+        S.parse(text)
+    assert time.time() - began < 3
+    assert S.parse("([" * 500).spoken == "([" * 500
+    assert " ".join(S.parse("a (b [c] ( d").spoken.split()) == "a (b ( d"
+
+
+def test_phrases_within_a_sentence_stay():
+    same = ["Do you know the answer?", "What I mean is this.", "Could you know what it was?", "They don't you know-how"]
+    assert [" ".join(S.without_fillers(x).split()) for x in same[:3]] == same[:3]
+    gone = {"Do, you know, not go": "Do, , not go", "It is you know the oven": "It is the oven", "do you know not forget": "do not forget", "what I mean happened": "what happened"}
+    assert {x: " ".join(S.without_fillers(x).split()) for x in gone} == gone
+
+
 @pytest.mark.parametrize(
     ("text", "n"),
     [("Um, so uhhh... you know, it is", 6), ("Erm.", 0), ("um intervalo bem curtinho não", 25), ("Voltamos logo depois de um intervalo bem curtinho.", 42), ("Er ist heute da", 12), ("Um.", 0), ("It is, um, like er that", 12), ("Eeeh o sea, mañana", 6), ("嗯嗯，说实话", 3), ("えっと、今日は", 3), ("Э-э... завтра", 6), ("Tu vois, euuuh c'est", 4), ("umbrella term", 12), ("Hm. Äääh ja", 2)],
@@ -102,6 +119,24 @@ def test_lookup_against_brute_force(spark):
         assert got[k] == (own or (over[0][2] if over else ""))
 
 
+def test_lookup_of_segments_of_any_length(spark):
+    r = random.Random(4)
+    rows = [("v", f"S{k % 5}", s := float(r.randrange(0, 3_000_000)), s + r.choice((2.0, 500.0, 40_000.0, 2e6))) for k in range(150)]
+    rows += [("v", "S77", 0.0, 8e12), ("w", "S01", 5.0, 6.0)]
+    segs = [("v", k, s := r.randrange(0, 3_000_000_000), s + r.choice((900, 400_000, 10_000_000, 4_000_000_000, 8_000_000_000_000_000)), None, 1, None) for k in range(200)]
+    segs += [("w", 0, 0, 8_000_000_000_000_000, None, 1, None), ("w", 1, 7000, 9000, None, 1, None), ("w", 2, 9000, 9000, None, 1, None), ("w", 3, None, 9000, None, 1, None), ("w", 4, 4000, None, None, 1, None)]
+    df = spark.createDataFrame(segs, "video_id string, pos int, s bigint, e bigint, who string, n bigint, text string")
+    got = {(x.video_id, x.pos): x.speaker for x in with_speakers(df, spark.createDataFrame(rows, R)).collect()}
+    assert len(got) == len(segs) and {k: v for k, v in got.items() if k[0] == "w"} == {("w", 0): "SPEAKER_01", ("w", 1): "", ("w", 2): "", ("w", 3): "", ("w", 4): "SPEAKER_01"}
+    for v, k, s, e, *_ in segs[:200]:
+        over = sorted((-(min(e, round(b * 1000)) - max(s, round(a * 1000))), round(a * 1000), S.speaker_name(n)) for u, n, a, b in rows if u == v)
+        assert got[v, k] == (over[0][2] if over[0][0] < 0 else "")
+
+
+def test_impossible_times(spark):
+    assert turns(spark, [{"start": 0, "end": 8e12, "text": "hello there"}, {"start": 1e14, "end": 2e14, "text": "x"}], [("v", "S03", 1.0, 2.0)]) == [(0, "SPEAKER_03", 10), (1, "", 1)]
+
+
 def test_latest_version_and_nulls(spark):
     rows = [("v", None, "x", json.dumps([seg(0, "old", "S00")]), None), ("v", None, "x", json.dumps([seg(0, "newer", "S00")]), "2024-01-02"), (None, None, "x", None, None), ("w", None, None, None, None), ("u", None, "", "", None), ("z", None, "raw text", "not json", None), ("y", None, None, "[null, 5, {\"text\": null}]", None)]
     t = spark.createDataFrame(rows, "video_id string, language string, text_full string, segments_json string, created_at string")
