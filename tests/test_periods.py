@@ -8,7 +8,7 @@ from cliplake.operators.periods import HOUR_MS, event_tracks, merge_periods, p1_
 def brute(rows, pause=HOUR_MS):
     out, by = set(), {}
     for v, s, e in rows:
-        if s is not None and e is not None and e > s:
+        if s is not None and e is not None and round(e * 1000) > round(s * 1000):
             by.setdefault(v, []).append((round(s * 1000), round(e * 1000)))
     for v, spans in by.items():
         merged = []
@@ -55,6 +55,23 @@ def test_very_long_interval(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_intervals_that_pass_many_shards(spark):
+    r = random.Random(8)
+    rows = []
+    for v in ("a", "b", "c"):
+        for _ in range(120):
+            s = round(r.uniform(0, 3000), 1)
+            rows.append((v, s, round(s + r.choice([0.4, 3.0, 40.0, 400.0 if v == "a" else 5.0]), 1)))
+    rows += [("d", 0.0, 3000.0), ("d", 100.2, 100.4), ("d", 5000.0, 5001.0), ("d", 2999.0, 4000.0), ("d", 4000.0, 4000.5)]
+    for shard in (1_000, 7_000, 100_000):
+        assert run(spark, rows, shard_ms=shard, recording_pause_ms=50_000) == brute(rows, 50_000)
+
+
+def test_ends_that_round_to_one_millisecond_are_no_interval(spark):
+    rows = [("a", 0.0, 1.0), ("a", 1.5001, 1.5004), ("a", 2.0, 3.0), ("a", 2.9996, 3.0004)]
+    assert run(spark, rows) == {("a", "period", 0, 1000), ("a", "gap", 1000, 2000), ("a", "period", 2000, 3000)}
+
+
 def test_extra_and_clashing_columns(spark):
     df = spark.createDataFrame([("x", 0.0, 1.0, "k", 5)], "kind string, start_sec double, end_sec double, start_ms string, shard int").withColumnRenamed("kind", "who")
     assert [tuple(r) for r in merge_periods(df, ["who"]).collect()] == [("x", "period", 0, 1000)]
