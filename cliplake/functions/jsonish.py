@@ -8,15 +8,11 @@ from typing import Any
 
 _DECODER = json.JSONDecoder()
 _OPEN = re.compile(r"[\[{]")
-#: JSON text may be wrapped in JSON text this many times.
-MAX_WRAPS = 8
 
 
 def unwrap(value: Any) -> Any:
-    """A string that is itself JSON counts as that JSON; anything else stays."""
-    for _ in range(MAX_WRAPS):
-        if not isinstance(value, str):
-            return value
+    """A string that is itself JSON counts as that JSON, however often it is wrapped; anything else stays."""
+    while isinstance(value, str):  # each time the text is shorter by its quotes at least
         text = value.strip()
         if not text or text[0] not in '[{"':
             return value

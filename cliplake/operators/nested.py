@@ -19,7 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +44,9 @@ ANALYSIS_NESTS: dict[str, tuple[Nest, ...]] = {
 }
 
 EMITTED = "video_id string, child_table string, row_key string, parent_key string, payload string"
+_NAMES = [c.split()[0] for c in EMITTED.split(", ")]
+#: Records visited at a time.
+SLICE_ROWS = 256
 
 
 def _emit(value: Any, nest: Nest, parent: str, out: list[tuple[str, str, str, str]]) -> None:
@@ -74,23 +77,25 @@ def flatten(df: DataFrame, key: str, nests: dict[str, tuple[Nest, ...]], version
     """All nested objects of the JSON columns in ``nests``: one tagged row each.
 
     Rows of one key are reduced to the latest by ``version`` before anything is parsed (partial aggregation
-    on the map side, one shuffle). Arrow batches go through the visitor; nothing is gathered by key.
+    on the map side, one shuffle). Arrow batches go through the visitor in slices; nothing is gathered by key.
     """
     texts = list(nests)
-    rows = df.select(F.col(key).alias("video_id"), *texts, *([version] if version else []))
+    rows = df.select(F.col(key).cast("string").alias("video_id"), *texts, *([version] if version else []))
     if version:
         latest = F.max(F.struct(version, *texts)).alias("_r")
         rows = rows.groupBy("video_id").agg(latest).select("video_id", *[f"_r.{c}" for c in texts])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
+            keys, *columns = (c.to_pylist() for c in b.columns)
             out: list[tuple] = []
-            for row in b.itertuples(index=False):
-                for k, column in enumerate(texts):
-                    out += [(row[0], *r) for r in visit(row[k + 1], nests[column])]
-            yield pd.DataFrame(out, columns=["video_id", "child_table", "row_key", "parent_key", "payload"], dtype=object)
+            for i, row_key in enumerate(keys):
+                for name, values in zip(texts, columns):
+                    out += [(row_key, *r) for r in visit(values[i], nests[name])]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*out)], _NAMES)
 
-    return rows.mapInPandas(run, EMITTED)
+    return rows.mapInArrow(run, EMITTED)
 
 
 def write_tables(tagged: DataFrame, path: str) -> None:
