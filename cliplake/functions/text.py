@@ -36,9 +36,43 @@ def mime_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), ending), F.lit("image/jpeg"))
 
 
+def _scaled(value: Column, digits: int) -> tuple[Column, Column]:
+    """|value| * 10^digits rounded to a whole number as the binary value says, ties to even; and the unrounded product.
+
+    The product p and its rounding error e are exact together (Dekker's product of two split factors), so the
+    sign of p - n - 1/2 + e tells on which side of the tie the binary value lies.
+    """
+    x, split = F.abs(value), F.lit(134217729.0)
+    b = 10.0**digits
+    bh = 134217729.0 * b - (134217729.0 * b - b)
+    p = x * F.lit(b)
+    high = split * x - (split * x - x)
+    low = x - high
+    e = ((high * bh - p) + high * (b - bh) + low * bh) + low * (b - bh)
+    n = F.floor(p).cast("double")
+    side = (p - n - 0.5) + e
+    return F.when(side > 0, n + 1).when((side == 0) & (F.pmod(n, F.lit(2.0)) == 1), n + 1).otherwise(n), p
+
+
+def round_binary(value: Column, digits: int) -> Column:
+    """The double nearest to the binary value rounded to ``digits`` decimals, ties to even (2.675 -> 2.67, as it lies below the tie).
+
+    Values so large that they have no more digits, NaN and infinite values stay as they are.
+    """
+    n, p = _scaled(value, digits)
+    r = n / F.lit(10.0**digits)
+    return F.when(F.isnan(value) | (p >= 2.0**52), value).when(value < 0, -r).otherwise(r)
+
+
 def fixed(value: Column, digits: int) -> Column:
-    """Like printf('%.nf') of a binary number: half to even on the decimal value, trailing zeros kept."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """printf('%.nf') of the binary value: ties to even, trailing zeros kept, '-0.0' for small negative values, 'nan', 'inf'."""
+    n, p = _scaled(value, digits)
+    whole = n.cast("bigint").cast("string")
+    if digits:
+        whole = F.lpad(whole, F.greatest(F.length(whole), F.lit(digits + 1)), "0")
+        whole = F.concat(F.substring(whole, F.lit(1), F.length(whole) - digits), F.lit("."), F.substring(whole, -digits, digits))
+    large = F.when(F.isnan(value), F.lit("nan")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf")).otherwise(F.format_string(f"%.{digits}f", value))
+    return F.when(F.isnan(value) | (p >= 2.0**52), large).when(value < 0, F.concat(F.lit("-"), whole)).otherwise(whole)
 
 
 def frame_prompt(index: Column, total: Column, at: Column, duration: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Previous row and running sums over ordered rows of an entity, without one task per entity.
+"""Previous rows over ordered rows of an entity, without one task per entity.
 
 Rows are windowed inside (entity, shard); one summary row per shard carries what the next shard needs. A hot
 entity is therefore spread over its shards, and only its shard summaries meet in one group.
@@ -35,18 +35,3 @@ def with_previous(df: DataFrame, entity: Sequence[str], shard: str, order: Seque
     value = F.when(F.col("_sq_first"), F.col("_sq_before")).otherwise(F.col("_sq_prev"))
     out = out.withColumn("_sq_value", value)
     return out.withColumns({n: F.col(f"_sq_value.{n}") for n in prev}).drop("_sq_val", "_sq_prev", "_sq_first", "_sq_before", "_sq_value")
-
-
-def with_running_sum(df: DataFrame, entity: Sequence[str], shard: str, order: Sequence[str], what: Column, name: str) -> DataFrame:
-    """Adds the sum of ``what`` over the entity's rows up to and including this one."""
-    inner = Window.partitionBy(*entity, shard).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("_sq_in", F.sum(what).over(inner))
-    sums = df.groupBy(*entity, shard).agg(F.sum(what).alias("_sq_sum"))
-    before = Window.partitionBy(*entity).orderBy(shard).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_sq_before", F.coalesce(F.sum("_sq_sum").over(before), F.lit(0))).drop("_sq_sum")
-    on = [rows[c].eqNullSafe(sums[c]) for c in [*entity, shard]]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    out = rows.join(sums, cond, "left").select(rows["*"], "_sq_before")
-    return out.withColumn(name, F.col("_sq_in") + F.col("_sq_before")).drop("_sq_in", "_sq_before")

@@ -7,17 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cliplake.session import written
+
 
 def latest(df: DataFrame, key: str, version: str, columns: Sequence[str]) -> DataFrame:
     """The latest row of each key (partial aggregation, no window): greatest version, then greatest values."""
     return df.groupBy(key).agg(F.max(F.struct(version, *columns)).alias("_r")).select(key, *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def fold_upserts(history: DataFrame, key: str, version: str, updated: Sequence[str], fixed: Sequence[str]) -> DataFrame:
-    """The state after upserting all versions in order: the latest non-NULL of ``updated``, the first of ``fixed``."""
+def fold_upserts(history: DataFrame, key: str, version: str, updated: Sequence[str], fixed: Sequence[str], *more: Column) -> DataFrame:
+    """The state after upserting all versions in order: the latest non-NULL of ``updated``, the first of ``fixed``, and further aggregates."""
     newest = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col(version))).alias(c) for c in updated]
     oldest = [F.min_by(c, version).alias(c) for c in fixed]
-    return history.groupBy(key).agg(*newest, *oldest)
+    return history.groupBy(key).agg(*newest, *oldest, *more)
 
 
 def upsert_coalesce(target: DataFrame, source: DataFrame, key: str, updated: Sequence[str], fixed: Sequence[str]) -> DataFrame:
@@ -38,9 +40,12 @@ def set_status(rows: DataFrame, changes: DataFrame, key: str) -> DataFrame:
 
 
 def assign_ids(rows: DataFrame, order: Sequence[str], after: int, buckets: int = 64) -> DataFrame:
-    """Consecutive ids behind ``after`` in the given order: range pieces are numbered by themselves and offset by the sizes before."""
+    """Consecutive ids behind ``after`` in the given order: range pieces are numbered by themselves and offset by the sizes before.
+
+    The pieces are written once, as another run over the same rows may draw other borders.
+    """
     spark = rows.sparkSession
-    pieces = rows.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
+    pieces = written(rows.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id()), "id-pieces")
     sizes = {r[0]: r[1] for r in pieces.groupBy("_p").count().collect()}  # one number per piece
     offsets, total = [], after
     for p in range(buckets):

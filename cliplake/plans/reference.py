@@ -35,9 +35,9 @@ FIXED = ("platform", "platform_id", "url")
 
 def videos(spark, d) -> DataFrame:
     """One row per video: all crawls folded."""
-    v = table(spark, d, "videos").withColumn("seen", F.unix_micros(F.col("updated_at").cast("timestamp")))
-    born = v.groupBy("id").agg(F.min(F.unix_micros(F.col("created_at").cast("timestamp"))).alias("created_us"))
-    return store.fold_upserts(v, "id", "seen", UPDATED, FIXED).join(born, "id")
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    v = table(spark, d, "videos").withColumn("seen", us("updated_at")).withColumn("born", us("created_at"))
+    return store.fold_upserts(v, "id", "seen", UPDATED, FIXED, F.min("born").alias("created_us"))
 
 
 _V = f"""V AS (SELECT id, {', '.join(f"max_by({c}, CASE WHEN {c} IS NOT NULL THEN updated_at END) AS {c}" for c in UPDATED)},
@@ -97,20 +97,32 @@ _E = """E AS (SELECT DISTINCT e.id, e.video_id, coalesce(t.event_type, e.event_t
   ON regexp_replace(lower(e.event_type), '[^a-z]', '', 'g') = t.k WHERE e.start_sec IS NOT NULL AND e.end_sec IS NOT NULL)"""
 _M = """F AS (SELECT *, CASE WHEN lag(event_type) OVER w = event_type AND abs(start_sec - lag(end_sec) OVER w) < 0.5 THEN 0 ELSE 1 END AS new FROM E WINDOW w AS (PARTITION BY video_id ORDER BY start_sec, id)),
   I AS (SELECT *, CAST(sum(new) OVER (PARTITION BY video_id ORDER BY start_sec, id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM F),
-  M AS (SELECT video_id, island, arg_min(event_type, (start_sec, id)) AS event_type, arg_min(label, (start_sec, id)) AS label, arg_min(start_sec, (start_sec, id)) AS start_sec,
+  M AS (SELECT video_id, arg_min(id, (start_sec, id)) AS first_id, arg_min(event_type, (start_sec, id)) AS event_type, arg_min(label, (start_sec, id)) AS label, arg_min(start_sec, (start_sec, id)) AS start_sec,
   arg_max(end_sec, (start_sec, id)) AS end_sec, max(confidence) AS confidence FROM I GROUP BY video_id, island)"""
 
-SEGMENTS = "array<struct<start:string,end:string,text:string,speaker:string>>"
+SEGMENTS = "array<struct<start:string,end:string,text:string,speaker:string,offsets:struct<`from`:string,`to`:string>>>"
+
+
+def _seconds(value, ms):
+    """A number of seconds, a clock text ('00:01:02,5'), or else milliseconds from the offsets."""
+    clock = F.when(value.rlike(r"^\d+(:\d+){1,2}([.,]\d+)?$"), F.aggregate(F.split(F.replace(value, F.lit(","), F.lit(".")), ":"), F.lit(0.0), lambda a, x: a * 60 + x.try_cast("double")))
+    return F.coalesce(value.try_cast("double"), clock, ms.try_cast("double") / 1000)
 
 
 def segments(spark, d) -> DataFrame:
     """Segments with times in seconds: video_id, seg_no, start_sec, end_sec, text, speaker."""
     t = transcripts(spark, d).select("video_id", F.posexplode(X.array_or_empty(F.col("segments_json"), SEGMENTS)).alias("seg_no", "s"))
-    return t.select("video_id", "seg_no", F.col("s.start").try_cast("double").alias("start_sec"), F.col("s.end").try_cast("double").alias("end_sec"), F.col("s.text").alias("text"), F.col("s.speaker").alias("speaker"))
+    return t.select("video_id", "seg_no", _seconds(F.col("s.start"), F.col("s.offsets.from")).alias("start_sec"), _seconds(F.col("s.end"), F.col("s.offsets.to")).alias("end_sec"), F.col("s.text").alias("text"), F.col("s.speaker").alias("speaker"))
+
+
+def _sec(name: str, offset: str) -> str:
+    v, clock = f"json_extract_string(a[i + 1], '$.{name}')", "'^\\d+(:\\d+){1,2}([.,]\\d+)?$'"
+    parts = f"list_transform(string_split(replace({v}, ',', '.'), ':'), lambda x: CAST(x AS DOUBLE))"
+    return f"coalesce(try_cast({v} AS DOUBLE), CASE WHEN regexp_matches({v}, {clock}) THEN list_reduce({parts}, lambda p, x: p * 60 + x) END, try_cast(json_extract_string(a[i + 1], '$.offsets.{offset}') AS DOUBLE) / 1000)"
 
 
 _S = f"""{_T}, J AS (SELECT video_id, from_json(CASE WHEN coalesce(segments_json, '') = '' THEN '[]' ELSE segments_json END, '["JSON"]') AS a FROM T),
-  S AS (SELECT video_id, CAST(i AS INT) AS seg_no, try_cast(json_extract_string(a[i + 1], '$.start') AS DOUBLE) AS start_sec, try_cast(json_extract_string(a[i + 1], '$.end') AS DOUBLE) AS end_sec,
+  S AS (SELECT video_id, CAST(i AS INT) AS seg_no, {_sec('start', 'from')} AS start_sec, {_sec('end', 'to')} AS end_sec,
   json_extract_string(a[i + 1], '$.text') AS text, json_extract_string(a[i + 1], '$.speaker') AS speaker FROM (SELECT video_id, a, unnest(range(len(a))) AS i FROM J))"""
 
 
@@ -494,23 +506,21 @@ def videos_by_platform(spark, d):
     return videos(spark, d).groupBy("platform").agg(F.count("*").alias("n"))
 
 
-@query(with_sql(_E, _M) + "SELECT video_id, island, event_type, label, start_sec, end_sec, confidence FROM M")
+@query(with_sql(_E, _M) + "SELECT video_id, first_id, event_type, label, start_sec, end_sec, confidence FROM M")
 def merge_adjacent(spark, d):
-    return audio.merge_adjacent(events(spark, d)).select("video_id", "island", "event_type", "label", "start_sec", "end_sec", "confidence")
+    return audio.merge_adjacent(events(spark, d))
 
 
-_TL = """G AS (SELECT video_id, event_type, sum(end_sec - start_sec) AS sec, min(island) AS first FROM M GROUP BY video_id, event_type),
-  H AS (SELECT video_id, coalesce(sum(sec) FILTER (event_type = 'music'), 0) AS music, coalesce(sum(sec) FILTER (event_type = 'silence'), 0) AS silence, arg_max(event_type, (round(sec, 6), -first)) AS dominant FROM G GROUP BY video_id)"""
+_TL = """G AS (SELECT video_id, event_type, CAST(sum(CAST(round((end_sec - start_sec) * 1e6) AS BIGINT)) AS BIGINT) AS us, min(start_sec) AS first, arg_min(first_id, (start_sec, first_id)) AS fid FROM M GROUP BY video_id, event_type),
+  H AS (SELECT video_id, coalesce(sum(us) FILTER (event_type = 'music'), 0) / 1e6 AS music, coalesce(sum(us) FILTER (event_type = 'silence'), 0) / 1e6 AS silence, arg_max(event_type, (us, -first, -fid)) AS dominant FROM G GROUP BY video_id)"""
 
 
-@query(with_sql(_V, _E, _M, _TL) + """SELECT V.id AS video_id, coalesce(duration_sec > 0 AND music > 0, false) AS has_music, round(coalesce(CASE WHEN duration_sec > 0 THEN music / duration_sec END, 0.0), 2) AS music_ratio,
-  round(coalesce(CASE WHEN duration_sec > 0 THEN silence / duration_sec END, 0.0), 2) AS silence_ratio, coalesce(CASE WHEN duration_sec > 0 THEN dominant END, '') AS dominant_type FROM V LEFT JOIN H ON H.video_id = V.id""")
+@query(with_sql(_V, _E, _M, _TL) + """SELECT V.id AS video_id, coalesce(duration_sec > 0 AND music > 0, false) AS has_music, coalesce(CASE WHEN duration_sec > 0 THEN CAST(format('{:.3f}', music / duration_sec) AS DOUBLE) END, 0.0) AS music_ratio,
+  coalesce(CASE WHEN duration_sec > 0 THEN CAST(format('{:.3f}', silence / duration_sec) AS DOUBLE) END, 0.0) AS silence_ratio, coalesce(CASE WHEN duration_sec > 0 THEN dominant END, '') AS dominant_type FROM V LEFT JOIN H ON H.video_id = V.id""")
 def audio_timeline(spark, d):
-    """The ratios are rounded to two digits for the comparison; the operator gives three, half to even."""
+    """Music and silence as shares to three digits, and the longest type."""
     dur = videos(spark, d).select(F.col("id").alias("video_id"), "duration_sec")
-    t = audio.audio_timeline(audio.merge_adjacent(events(spark, d)), dur, seconds=True)
-    two = lambda c: F.round(F.coalesce(F.when(F.col("duration_sec") > 0, F.col(c) / F.col("duration_sec")), F.lit(0.0)), 2)
-    return t.select("video_id", "has_music", two("music_sec").alias("music_ratio"), two("silence_sec").alias("silence_ratio"), "dominant_type")
+    return audio.audio_timeline(audio.merge_adjacent(events(spark, d)), dur)
 
 
 @query(with_sql(_E, _M, _TL) + "SELECT video_id, dominant AS dominant_type FROM H")
@@ -544,17 +554,21 @@ def transcript_text(spark, d):
 
 
 def event_lines(e: DataFrame) -> DataFrame:
-    """video_id, shard, text: lines '[s-e] type: label' by time, in pieces of an hour, so a live stream is no single string."""
+    """video_id, shard, text: lines '[0.0s-2.5s] type: label (90%)' by time, in pieces of an hour, so a live stream is no single string."""
     from cliplake.operators.sequence import time_shard
 
-    at = lambda c: F.format_string("%d", F.round(F.col(c) * 1000).cast("long"))
-    line = F.concat(F.lit("["), at("start_sec"), F.lit("-"), at("end_sec"), F.lit("] "), F.col("event_type"), F.lit(": "), F.col("label"))
+    at = lambda c: F.concat(X.fixed(F.col(c), 1), F.lit("s"))
+    sure = X.fixed(F.coalesce("confidence", F.lit(0.0)) * 100, 0)
+    line = F.concat(F.lit("["), at("start_sec"), F.lit("-"), at("end_sec"), F.lit("] "), "event_type", F.lit(": "), "label", F.lit(" ("), sure, F.lit("%)"))
     e = e.withColumn("shard", time_shard(F.col("start_sec")))
     rows = F.sort_array(F.collect_list(F.struct("start_sec", "id", line.alias("line"))))
     return e.groupBy("video_id", "shard").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("text"))
 
 
-@query(with_sql(_E) + "SELECT video_id, CAST(floor(start_sec / 3600) AS BIGINT) AS shard, md5(string_agg('[' || CAST(round(start_sec * 1000) AS BIGINT) || '-' || CAST(round(end_sec * 1000) AS BIGINT) || '] ' || event_type || ': ' || label, chr(10) ORDER BY start_sec, id)) AS digest FROM E GROUP BY ALL")
+_LINE = "'[' || format('{:.1f}', start_sec) || 's-' || format('{:.1f}', end_sec) || 's] ' || event_type || ': ' || label || ' (' || format('{:.0f}', coalesce(confidence, 0.0) * 100) || '%)'"
+
+
+@query(with_sql(_E) + "SELECT video_id, CAST(floor(start_sec / 3600) AS BIGINT) AS shard, md5(string_agg(" + _LINE + ", chr(10) ORDER BY start_sec, id)) AS digest FROM E GROUP BY ALL")
 def audio_lines(spark, d):
     return event_lines(events(spark, d)).select("video_id", "shard", F.md5("text").alias("digest"))
 
@@ -722,23 +736,25 @@ def score_lookup(spark, d):
     return score_columns(score_replies(spark, d)).where("overall > 0").select("doc_id", "overall", "reasoning")
 
 
-@query("SELECT DISTINCT id, round_even(x * 0.125e0, 2) AS r FROM (SELECT id, CAST(id % 1000 AS DOUBLE) AS x FROM audio_events)")
+@query("SELECT DISTINCT id, start_sec, " + ", ".join(f"CAST(format('{{:.{k}f}}', start_sec) AS DOUBLE) AS r{k}, format('{{:.{k}f}}', end_sec) AS f{k}" for k in (0, 1, 2)) + ", CAST(format('{:.1f}', (id * 2 + 1) / 16) AS DOUBLE) AS tie FROM audio_events")
 def round_even(spark, d):
-    """Half to even, on eighths (which are exact in binary)."""
-    return table(spark, d, "audio_events").select("id", F.bround((F.col("id") % 1000).cast("double") * 0.125, 2).alias("r")).distinct()
+    """Rounded as the binary value says, ties to even: the raw times, their printed forms, and ties made of the ids."""
+    e = table(spark, d, "audio_events")
+    r = [c for k in (0, 1, 2) for c in (X.round_binary(F.col("start_sec"), k).alias(f"r{k}"), X.fixed(F.col("end_sec"), k).alias(f"f{k}"))]
+    return e.select("id", "start_sec", *r, X.round_binary((F.col("id") * 2 + 1) / 16, 1).alias("tie")).distinct()
 
 
 _TASK = X.FRAME_TASK.replace("'", "''")
 
 
-@query(with_sql(_V, _K, "N AS (SELECT K.*, count(*) OVER (PARTITION BY video_id) AS total FROM K)") + f"""SELECT N.id, md5('This is frame ' || (frame_index + 1) || ' of ' || total || '. Captured at ' || format('{{:.1f}}', CAST(floor(timestamp_sec) AS DOUBLE)) || 's' || CASE WHEN coalesce(duration_sec, 0) <> 0 THEN ' of a ' || CAST(CAST(floor(duration_sec) AS BIGINT) AS VARCHAR) || 's video.' ELSE '' END || chr(10) || chr(10) || '{_TASK}') AS digest FROM N LEFT JOIN V ON V.id = N.video_id""")
+@query(with_sql(_V, _K, "N AS (SELECT K.*, count(*) OVER (PARTITION BY video_id) AS total FROM K)") + f"""SELECT N.id, md5('This is frame ' || (frame_index + 1) || ' of ' || total || '. Captured at ' || format('{{:.1f}}', timestamp_sec) || 's' || CASE WHEN coalesce(duration_sec, 0) <> 0 THEN ' of a ' || format('{{:.0f}}', duration_sec) || 's video.' ELSE '' END || chr(10) || chr(10) || '{_TASK}') AS digest FROM N LEFT JOIN V ON V.id = N.video_id""")
 def frame_prompt(spark, d):
-    """Prompts of all frames (times cut to whole seconds for the comparison)."""
+    """Prompts of all frames."""
     k = keyframes(spark, d)
     n = k.groupBy("video_id").agg(F.count("*").alias("total"))
     v = videos(spark, d).select(F.col("id").alias("video_id"), "duration_sec")
     r = k.join(n, "video_id").join(v, "video_id", "left")
-    return r.select("id", F.md5(X.frame_prompt(F.col("frame_index"), F.col("total"), F.floor("timestamp_sec").cast("double"), F.floor("duration_sec").cast("double"))).alias("digest"))
+    return r.select("id", F.md5(X.frame_prompt(F.col("frame_index"), F.col("total"), F.col("timestamp_sec"), F.col("duration_sec"))).alias("digest"))
 
 
 def merge_prompts(v: DataFrame, text: DataFrame, frames_: DataFrame, sounds: DataFrame, template: str) -> DataFrame:

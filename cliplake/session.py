@@ -28,12 +28,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="cliplake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Where it is unset, a single-machine session (tests) gets a temporary folder; on a cluster that is an error,
+    as every executor would write to a disk of its own.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not hasattr(context, "_cliplake_shared"):
+        context._cliplake_shared = "file://" + tempfile.mkdtemp(prefix="cliplake-")
+    return context._cliplake_shared
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
