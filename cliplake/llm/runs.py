@@ -1,34 +1,40 @@
 """Runs of identical or near-identical consecutive events, collapsed into one event with count and duration.
 
-Optimal segmentation: a run costs the dissimilarity of its events to its first one plus BOUNDARY; pruned
-dynamic programming finds the cheapest segmentation of each entity's sequence. Two events of one meaning
-have dissimilarity 0, others 1; as BOUNDARY is below one half, no optimal run mixes meanings, so the
-optimum over a sequence is the optimum over its pieces, joined where two neighbouring pieces agree.
-
-Scale: events are range-partitioned by (entity, time, id), so a hot entity spreads over many tasks. Each
-task segments its piece in Arrow batches, carrying only the open run; the first and the last run of each
-partition are then stitched (two rows per partition at most meet in one group).
+Optimal segmentation: every run has a meaning (a known label, a label of its own, or an event type without a
+label); it costs the dissimilarity of its events to that meaning plus BOUNDARY. The dissimilarity is graded:
+0 for the label itself in any spelling of the same letters, the share of the typing errors allowed for a
+near spelling, FAR for anything else. Pruned dynamic programming finds the cheapest sequence of runs, so a
+spelling that is near to two labels goes with its neighbours where that saves boundaries.
+
+Scale: events are range-partitioned by (entity, time, id), so a hot entity spreads over many tasks. An event
+whose nearest meaning beats all others by more than two boundaries has that meaning whatever its neighbours
+are; the program runs over the events between two such ones, and all others pass by in one step. Of each
+partition only the first and the last run of an entity, and undecided events before the first or after the
+last decided one, meet their neighbours of other partitions, in one group per entity.
 
 Defined results: a repeated (entity, time, id) counts once; events without a time or an entity are left out;
-equal times are ordered by id (NULL ids first); a label in any spelling means the known label that it
-equals in its letters, or that is the only nearest one within the typing errors allowed by its length; other
-labels mean themselves; missing labels (NULL or empty) mean their event type. Extra columns are ignored.
+equal times are ordered by id (NULL ids first); labels that are near to no known one mean themselves; missing
+labels (NULL or empty) mean their event type; of equally cheap segmentations the one that goes on with the
+run, then the label first in the alphabet. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cliplake.functions.clean import to_ms
+from cliplake.session import written
 from cliplake.sources.tables import table
 
-BOUNDARY = 0.4
+BOUNDARY, FAR = 0.2, 2.0
 #: Labels looked up are remembered per task, up to this many spellings.
 MEMORY = 100_000
 
@@ -59,59 +65,158 @@ def edits(a: str, b: str, most: int) -> int:
 
 
 class Meanings:
-    """From (label, event type) in any spelling to one meaning."""
+    """From (label, event type) in any spelling to the meanings it is near to."""
 
     def __init__(self, labels: list[str], types: list[str]) -> None:
-        self.labels = {letters_of(x): x for x in labels if x}
+        self.labels = {letters_of(x): x for x in sorted(labels) if x}
         self.types = {letters_of(x): x for x in types if x}
-        self.known: dict[tuple[str | None, str | None], str] = {}
+        self.known: dict[tuple[str | None, str | None], tuple[str | None, dict[str, float]]] = {}
 
-    def label(self, text: str) -> str:
+    def label(self, text: str) -> dict[str, float]:
+        """Known label -> dissimilarity, of all that are near; the label itself if none is."""
         key = letters_of(text)
         if key in self.labels:
-            return self.labels[key]
+            return {"L" + self.labels[key]: 0.0}
         most = 1 if len(key) < 8 else 2
-        near = sorted((d, name) for k, name in self.labels.items() if (d := edits(key, k, most)) <= most)
-        if near and (len(near) == 1 or near[0][0] < near[1][0]):
-            return near[0][1]
-        return "?" + (key or text.strip())
+        near = {"L" + name: d / (most + 1) for k, name in self.labels.items() if (d := edits(key, k, most)) <= most}
+        return near or {"L?" + (key or text.strip()): 0.0}
 
-    def __call__(self, label: str | None, event_type: str | None) -> str:
+    def __call__(self, label: str | None, event_type: str | None) -> tuple[str | None, dict[str, float]]:
+        """The meaning, if no neighbour can change it (else None), and the dissimilarity to each near meaning."""
         key = (label, None if label else event_type)
         if (m := self.known.get(key)) is None:
             if len(self.known) >= MEMORY:
                 self.known.clear()
             kind = letters_of(event_type)
-            m = "L" + self.label(label) if label and label.strip() else "T" + self.types.get(kind, kind)
-            self.known[key] = m
+            near = self.label(label) if label and label.strip() else {"T" + self.types.get(kind, kind): 0.0}
+            first, second = sorted([*near.items(), ("", FAR)], key=lambda x: x[1])[:2]
+            m = self.known[key] = (first[0] if first[1] + 2 * BOUNDARY < second[1] else None, near)
         return m
 
 
-def segment(codes: list[str], boundary: float = BOUNDARY, limit: float = 1.0) -> list[int]:
-    """Starts of the runs of the cheapest segmentation. ``limit``: dissimilarity of two meanings."""
-    n = len(codes)
-    cost, came = [0.0] * (n + 1), [0] * (n + 1)
-    alive: list[list] = []  # [start, cost before it, dissimilarity of the run so far]
-    for t in range(n):
-        alive.append([t, cost[t], 0.0])
-        x, best, at = codes[t], float("inf"), t
-        for c in alive:
-            if codes[c[0]] != x:
-                c[2] += limit
-            if (total := c[1] + c[2] + boundary) < best:
-                best, at = total, c[0]
-        cost[t + 1], came[t + 1] = best, at
-        if len(alive) > 1:  # a start that is no better than a boundary here can never win later
-            alive = [c for c in alive if c[1] + c[2] < best]
-    starts, t = [], n
-    while t:
-        t = came[t]
-        starts.append(t)
-    return starts[::-1]
-
-
-_RUN = "part int, seq bigint, opens boolean, closes boolean, video_id string, meaning string, first_id bigint, n bigint, start_ms bigint, last_ms bigint, end_ms bigint"
+def segment(events: list[dict[str, float]], boundary: float = BOUNDARY, far: float = FAR) -> list[str]:
+    """The meaning of every event in the cheapest segmentation; an event is ``far`` from meanings it does not name.
+
+    A meaning that costs a boundary more than the cheapest one can be left out: it can be begun anew for that.
+    """
+    alive: dict[str, float] = {}
+    came: list[dict[str, str]] = []
+    for near in events:
+        low = min(alive, key=lambda k: (alive[k], k)) if alive else ""
+        new, back = {}, {}
+        for k in [*alive, *(k for k in near if k not in alive)]:
+            stay, change = alive.get(k, float("inf")), (alive[low] if alive else 0.0) + boundary
+            new[k] = min(stay, change) + near.get(k, far)
+            back[k] = k if stay <= change else low
+        best = min(new.values())
+        alive = {k: c for k, c in new.items() if c < best + boundary}
+        came.append(back)
+    if not events:
+        return []
+    out = [min(alive, key=lambda k: (alive[k], k))]
+    for back in came[:0:-1]:
+        out.append(back[out[-1]])
+    return out[::-1]
+
+
+_RUN = "part int, seq bigint, edge boolean, video_id string, meaning string, near string, first_id bigint, n bigint, start_ms bigint, last_ms bigint, end_ms bigint"
 _NAMES = [c.split()[0] for c in _RUN.split(", ")]
+_OUT = "video_id string, meaning string, first_event_id bigint, n_events bigint, start_ms bigint, end_ms bigint"
+
+
+class _Piece:
+    """The runs of one partition, event by event in order."""
+
+    def __init__(self, meanings: Meanings) -> None:
+        self.meanings = meanings
+        self.done: list[tuple] = []  # finished rows, not yet sent
+        self.part, self.seq, self.video, self.entities = 0, 0, None, 0
+        self.opened = False  # the partition's first run is closed
+        self.held: list | None = None  # the open run: meaning, first id, n, start, last, end
+        self.pending: list[tuple] = []  # undecided events since then: near, id, start, end
+
+    def _send(self, edge: bool, meaning: str | None, near: str | None, fields: list) -> None:
+        self.done.append((self.part, self.seq, edge, self.video, meaning, near, *fields))
+        self.seq += 1
+
+    def _close(self, last: bool = False) -> None:
+        if self.held is not None:
+            self._send(last or (self.entities == 1 and not self.opened), self.held[0], None, self.held[1:])
+            self.opened, self.held = True, None
+
+    def _extend(self, meaning: str, i, s: int, end: int) -> None:
+        held = self.held
+        if held is not None and held[0] == meaning:
+            held[2] += 1
+            held[4] = s
+            if end > held[5]:
+                held[5] = end
+        else:
+            self._close()
+            self.held = [meaning, i, 1, s, s, end]
+
+    def _soft(self) -> None:
+        for near, i, s, end in self.pending:
+            self._send(True, None, json.dumps(near), [i, 1, s, s, end])
+        self.pending = []
+
+    def _settle(self, right: str | None) -> None:
+        """Decides the pending events between the open run and the decided event to the right."""
+        if self.held is None and self.entities == 1 and not self.opened:
+            self._soft()  # what lies before them is in another partition
+            return
+        left = [{self.held[0]: 0.0}] if self.held is not None else []
+        found = segment([*left, *(p[0] for p in self.pending), *([{right: 0.0}] if right else [])])[len(left) :]
+        pending, self.pending = self.pending, []
+        for m, (_, i, s, end) in zip(found, pending):
+            self._extend(m, i, s, end)
+
+    def add(self, video: str, s: int, i, kind, label, end: int) -> None:
+        if video != self.video:
+            if self.pending:
+                self._settle(None)
+            self._close()
+            self.video, self.entities = video, self.entities + 1
+        meaning, near = self.meanings(label, kind)
+        if meaning is None:
+            self.pending.append((near, i, s, end))
+            return
+        if self.pending:
+            self._settle(meaning)
+        self._extend(meaning, i, s, end)
+
+    def finish(self) -> None:
+        self._close(True)
+        self._soft()
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if self.done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*self.done), _SCHEMA)], schema=_SCHEMA)
+            self.done = []
+
+
+def _stitch(rows: pd.DataFrame) -> pd.DataFrame:
+    """The edge rows of one entity, joined over the borders of partitions."""
+    rows = rows.sort_values(["part", "seq"]).astype(object).where(lambda d: d.notna(), None)
+    chains: list[list] = []
+    for r in rows.itertuples(index=False):
+        last = chains[-1][-1] if chains else None
+        # Two decided runs of one partition are its first and its last one: others may lie between.
+        if last is None or (last.part == r.part and last.near is None and r.near is None):
+            chains.append([])
+        chains[-1].append(r)
+    out: list[list] = []
+    for chain in chains:
+        found = segment([{r.meaning: 0.0} if r.near is None else json.loads(r.near) for r in chain])
+        begun = len(out)
+        for m, r in zip(found, chain):
+            end = max(r.last_ms, r.end_ms)
+            if len(out) > begun and out[-1][1] == m:
+                out[-1][3] += r.n
+                out[-1][5] = max(out[-1][5], end)
+            else:
+                out.append([r.video_id, m, r.first_id, r.n, r.start_ms, end])
+    return pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
 
 
 def event_runs(events: DataFrame, labels: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -132,71 +237,24 @@ def event_runs(events: DataFrame, labels: DataFrame, partitions: int | None = No
     rows = rows.withColumn("part", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mean = Meanings(names, types)
-        done: list[tuple] = []  # finished runs, not yet sent
-        seq, before, part, held = 0, None, 0, None  # held: the open run, as the fields of a row
-        video, chunk = None, []  # meanings of the entity's events since the batch began
-
-        def close(last: bool) -> None:
-            nonlocal held, seq
-            if held is not None:
-                done.append((part, seq, seq == 0, last, *held))
-                seq, held = seq + 1, None
-
-        def settle() -> None:
-            nonlocal held, chunk
-            if not chunk:
-                return
-            codes = [c[0] for c in chunk]
-            starts = segment(codes)
-            for a, b in zip(starts, [*starts[1:], len(codes)]):
-                _, first_id, s, _ = chunk[a]
-                end = max((c[3] for c in chunk[a:b] if c[3] is not None), default=chunk[b - 1][2])
-                if held is not None and held[0] == video and held[1] == codes[a]:
-                    held = (*held[:3], held[3] + b - a, held[4], chunk[b - 1][2], max(held[6], end))
-                else:
-                    close(False)
-                    held = (video, codes[a], first_id, b - a, s, chunk[b - 1][2], end)
-            chunk = []
-
+        piece, before = _Piece(Meanings(names, types)), None
         for batch in batches:
-            for v, s, i, kind, label, e, part_no in zip(*(c.to_pylist() for c in batch.columns)):
-                part = part_no
+            for v, s, i, kind, label, e, part in zip(*(c.to_pylist() for c in batch.columns)):
                 if (v, s, i) == before:
                     continue
-                before = (v, s, i)
-                if v != video:
-                    settle()
-                    video = v
-                chunk.append((mean(label, kind), i, s, e))
-            settle()
-            if done:
-                yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in done], _SCHEMA)
-                done.clear()
-        close(True)
-        if done:
-            yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r)) for r in done], _SCHEMA)
-
-    pieces = rows.mapInArrow(run, _RUN)
-    # Runs at the border of a partition meet in group -1, in order; all others stay with their partition.
-    group = F.when(F.col("opens") | F.col("closes"), F.lit(-1)).otherwise(F.col("part"))
-    pieces = pieces.withColumn("grp", group)
-    w = Window.partitionBy("grp").orderBy("part", "seq")
-    same = (
-        (F.col("grp") == -1) & F.col("opens") & F.lag("closes").over(w)
-        & (F.lag("video_id").over(w) == F.col("video_id")) & (F.lag("meaning").over(w) == F.col("meaning"))
-    )
-    pieces = pieces.withColumn("new", F.when(same, 0).otherwise(1))
-    pieces = pieces.withColumn("chain", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at = F.struct("part", "seq")
-    return pieces.groupBy("grp", "chain").agg(
-        F.first("video_id").alias("video_id"), F.first("meaning").alias("meaning"), F.min_by("first_id", at).alias("first_event_id"),
-        F.sum("n").alias("n_events"), F.min("start_ms").alias("start_ms"), F.max(F.greatest("last_ms", "end_ms")).alias("end_ms"),
-    ).drop("grp", "chain")
+                before, piece.part = (v, s, i), part
+                piece.add(v, s, i, kind, label, s if e is None else e)
+            yield from piece.take()
+        piece.finish()
+        yield from piece.take()
+
+    pieces = written(rows.mapInArrow(run, _RUN), "runs")
+    inner = pieces.where("NOT edge").select("video_id", "meaning", F.col("first_id").alias("first_event_id"), F.col("n").alias("n_events"), "start_ms", F.greatest("last_ms", "end_ms").alias("end_ms"))
+    return inner.unionByName(pieces.where("edge").groupBy("video_id").applyInPandas(_stitch, _OUT))
 
 
 _SCHEMA = pa.schema(
-    [("part", pa.int32()), ("seq", pa.int64()), ("opens", pa.bool_()), ("closes", pa.bool_()), ("video_id", pa.string()), ("meaning", pa.string())]
+    [("part", pa.int32()), ("seq", pa.int64()), ("edge", pa.bool_()), ("video_id", pa.string()), ("meaning", pa.string()), ("near", pa.string())]
     + [(c, pa.int64()) for c in ("first_id", "n", "start_ms", "last_ms", "end_ms")]
 )
 
