@@ -34,6 +34,35 @@ def test_defined_ids(spark):
     assert encode_corpus(df.limit(0)).count() == 0
 
 
+def test_ascii_texts_split_alike():
+    import re
+
+    import regex
+
+    from cliplake.llm.tokens import ASCII_PATTERN, PATTERN
+
+    r = random.Random(4)
+    for _ in range(3000):
+        t = "".join(r.choice("ab1 '\n\t\r\x0b\x0c\x1c\x1f\x00.-_sldmtvre ") for _ in range(r.randrange(30)))
+        assert re.compile(ASCII_PATTERN, re.ASCII).findall(t) == regex.compile(PATTERN).findall(t), ascii(t)
+
+
+def test_words_beyond_the_shared_table(spark, monkeypatch):
+    """The most frequent words are shared, within the bound; all others get the same ids where they are met."""
+    from cliplake.llm import tokens
+
+    texts = ["the cat the cat the", "the dog", "a" * 100 + " the", None, "", "rare wörds 12"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    counts = {r.word: r.n for r in tokens.corpus_words(df.select("text")).collect()}
+    assert counts["the"] == 2 and counts[" the"] == 3 and counts["a" * 100] == 1
+    for bound in (0, 1, 4, 10**6):
+        monkeypatch.setattr(tokens, "SHARED_WORDS", bound)
+        shared = {r.word: r.ids for r in tokens.encoded_words(df.select("text"), PATH).collect()}
+        assert len(shared) <= bound and "a" * 100 not in shared
+        assert list(shared.values()) == library(list(shared))
+        assert {r.doc_id: r.ids for r in encode_corpus(df).collect()} == dict(enumerate(library([t or "" for t in texts])))
+
+
 def test_forgetting_words(monkeypatch):
     from cliplake.llm import tokens
 
