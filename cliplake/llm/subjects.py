@@ -1,8 +1,9 @@
 """Subject areas of documents: averaged word and subword embeddings with independent logistic outputs.
 
 A sentence is a bag of hashed words, word pairs and word beginnings; the mean of their embeddings goes into
-one logistic output per subject. Training runs in rounds over partitions: every partition takes gradient
-steps on its rows from the shared weights, the driver averages what they return and hands it out again.
+one logistic output per subject. Training texts are read once: every partition writes the features of its
+distinct sentences as arrays. In every step each partition gives the gradient of its share of the batch, the
+driver sums them (their size is fixed) and hands the new weights out, so all work on equal weights.
 The model is fitted on the labelled examples first. It then labels a bounded sample of documents
 (``TRAIN_DOCS``, by hash of the id), where a sentence inherits the subjects of its document, which teaches
 words that no example has; sentences common to all subjects learn no subject. Every document is then scored
@@ -14,6 +15,7 @@ brackets are no sentences; repeated rows and copies have the same subjects.
 
 from __future__ import annotations
 
+import io
 import re
 import unicodedata
 import zlib
@@ -30,11 +32,12 @@ from cliplake.session import written
 from cliplake.sources.tables import table
 
 BUCKETS, DIM = 1 << 16, 12
-TRAIN_DOCS, TRAIN_PARTITIONS, ROUNDS, EPOCHS = 12_000, 4, 4, 2
-#: Sentences a partition learns from in one round, at most and at least (few are gone through again).
-ROUND_SENTENCES, ROUND_LEAST = 12_000, 3_000
+#: Bound of the sample, and the number of pieces it is trained in.
+TRAIN_DOCS, TRAIN_PARTITIONS = 12_000, 8
+#: Steps on the labelled sentences and, at least, in a round of labelling; sentences of such a step; passes over them, at least; rounds.
+LABELLED_STEPS, STEPS, BATCH, EPOCHS, ROUNDS = 12, 15, 12_000, 3, 3
 #: Rate of the steps; frequency at which a feature counts half.
-RATE, COMMON = 0.3, 2e-4
+RATE, COMMON = 0.5, 2e-4
 SHARE, SURE, HALF_SURE = 0.2, 0.5, 0.35
 MEMORY = 200_000
 SLICE_ROWS = 256
@@ -101,93 +104,170 @@ def _mean(rows: np.ndarray, owner: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.add.reduceat(rows * share[:, None], at, axis=0)
 
 
-def local_steps(w: Weights, bags: list[list[int]], y: np.ndarray, seed: int) -> Weights:
-    """Gradient steps of the logistic losses over one partition's sentences, each weight with its own falling rate."""
-    emb, out, bias = w.emb.copy(), w.out.copy(), w.bias.copy()
-    g_emb, g_out, g_bias = np.full(BUCKETS, 1e-4, np.float32), np.full(out.shape, 1e-2, np.float32), np.full(bias.shape, 1e-1, np.float32)
-    rng, size = np.random.default_rng(seed), 32
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(bags))
-        for at in range(0, len(order), size):
-            part = order[at : at + size]
-            idx, owner, share = _flat([bags[i] for i in part], w.rarity)
-            hidden = _mean(emb[idx], owner, share)
-            g = (1 / (1 + np.exp(-np.clip(hidden @ out + bias, -30, 30))) - y[part]).astype(np.float32)
-            back = (g @ out.T)[owner] * share[:, None]
-            np.add.at(g_emb, idx, (back**2).mean(axis=1))
-            step = hidden.T @ g
-            g_out += step**2
-            g_bias += g.sum(axis=0) ** 2
-            out -= RATE * step / np.sqrt(g_out)
-            bias -= RATE * g.sum(axis=0) / np.sqrt(g_bias)
-            np.subtract.at(emb, idx, RATE * back / np.sqrt(g_emb[idx])[:, None])
-    return Weights(emb, out, bias, w.rarity)
+class Bags:
+    """The features of many sentences as flat arrays: buckets, and the number of them in each sentence."""
 
+    def __init__(self, idx: np.ndarray, size: np.ndarray, rarity: np.ndarray) -> None:
+        self.idx, self.rarity, self.at = idx, rarity, np.r_[0, np.cumsum(size)]
 
-def _pack(w: Weights) -> bytes:
-    return np.concatenate([w.emb.ravel(), w.out.ravel(), w.bias, w.rarity]).astype(np.float32).tobytes()
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Buckets, owner and share in the mean of every feature of the given sentences."""
+        first, size = self.at[rows], self.at[rows + 1] - self.at[rows]
+        idx = self.idx[np.repeat(first - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())]
+        owner, weight = np.repeat(np.arange(len(rows)), size), self.rarity[idx]
+        return idx, owner, weight / np.maximum(np.bincount(owner, weight), 1e-9)[owner].astype(np.float32)
 
+    def probabilities(self, w: Weights, rows: np.ndarray) -> np.ndarray:
+        if not len(rows):
+            return np.zeros((0, len(w.bias)), np.float32)
+        idx, owner, share = self.take(rows)
+        return _sigmoid(_mean((w.emb @ w.out)[idx], owner, share) + w.bias)
 
-def _unpack(data: bytes, classes: int) -> Weights:
-    flat = np.frombuffer(data, np.float32)
-    a, b = BUCKETS * DIM, BUCKETS * DIM + DIM * classes
-    return Weights(flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, classes), flat[b : b + classes], flat[b + classes :])
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _sum_rows(idx: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct indices and the sums of their rows."""
+    if not len(idx):
+        return idx, rows
+    order = np.argsort(idx, kind="stable")
+    idx = idx[order]
+    at = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
+    return idx[at], np.add.reduceat(rows[order], at, axis=0)
+
+
+def _gradient(w: Weights, bags: Bags, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Touched buckets, their gradient, and those of outputs and biases, summed over the given sentences."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros((0, DIM), np.float32), np.zeros_like(w.out), np.zeros_like(w.bias)
+    idx, owner, share = bags.take(rows)
+    hidden = _mean(w.emb[idx], owner, share)
+    g = (_sigmoid(hidden @ w.out + w.bias) - y).astype(np.float32)
+    return *_sum_rows(idx, (g @ w.out.T)[owner] * share[:, None]), hidden.T @ g, g.sum(axis=0)
+
+
+def _to_bytes(idx: np.ndarray, rows: np.ndarray, out: np.ndarray, bias: np.ndarray) -> bytes:
+    """Half precision, as shares of the largest value."""
+    top = np.float32(np.abs(rows).max(initial=0.0) or 1.0)
+    return np.int32(len(idx)).tobytes() + top.tobytes() + idx.astype(np.int32).tobytes() + (rows / top).astype(np.float16).tobytes() + np.concatenate([out.ravel(), bias]).astype(np.float32).tobytes()
+
+
+def _from_bytes(data: bytes, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n, top = int(np.frombuffer(data, np.int32, 1)[0]), np.frombuffer(data, np.float32, 1, 4)[0]
+    idx = np.frombuffer(data, np.int32, n, 8)
+    rows = np.frombuffer(data, np.float16, n * DIM, 8 + 4 * n).reshape(n, DIM).astype(np.float32) * top
+    rest = np.frombuffer(data, np.float32, -1, 8 + 4 * n + 2 * n * DIM)
+    return idx, rows, rest[: DIM * classes].reshape(DIM, classes), rest[DIM * classes :]
 
 
-def bucket_counts(rows: DataFrame) -> np.ndarray:
-    """How often each bucket occurs in the training texts, summed over partitions."""
+def prepared(texts: list[str], targets: list[list[float] | None], classes: int) -> bytes:
+    """The distinct sentences of some texts as arrays; a target is given for labelled texts, None for those to be labelled.
+
+    idx, size: features of the sentences; own, own_size: sentences of each text to be labelled; known, y: labelled sentences.
+    """
+    number: dict[str, int] = {}
+    bags: list[list[int]] = []
+    own: list[list[int]] = []
+    known: dict[int, list[float]] = {}
+    for text, target in zip(texts, targets):
+        mine = []
+        for s in sentences(text):
+            if s not in number:
+                number[s] = len(bags)
+                bags.append(features(s) or [0])
+            mine.append(number[s])
+        if target is not None:
+            known.update(dict.fromkeys(mine, target))
+        elif mine:
+            own.append(mine)
+    flat = lambda lists: np.fromiter((i for x in lists for i in x), np.int32, sum(map(len, lists)))
+    sizes = lambda lists: np.fromiter(map(len, lists), np.int32, len(lists))
+    out = io.BytesIO()
+    np.savez(out, idx=flat(bags), size=sizes(bags), own=flat(own), own_size=sizes(own), known=np.fromiter(known, np.int32, len(known)), y=np.array(list(known.values()), np.float32).reshape(-1, classes))
+    return out.getvalue()
+
+
+def targets_of(d: dict, w: Weights, sharp: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(sentences that learn, their targets): a sentence has the mean of its texts' subjects, a labelled one its own.
+
+    With ``sharp`` it has only those that the weights find in the sentence itself too.
+    """
+    n, classes = len(d["size"]), len(w.bias)
+    p = Bags(d["idx"], d["size"], w.rarity).probabilities(w, np.arange(n))
+    text = np.repeat(np.arange(len(d["own_size"])), d["own_size"])
+    share = np.zeros((len(d["own_size"]), classes))
+    np.add.at(share, text, p[d["own"]] >= SURE)
+    share = np.minimum(1.0, share / np.maximum(d["own_size"], 1)[:, None] / 0.8)
+    y, times = np.zeros((n, classes)), np.bincount(d["own"], minlength=n)
+    np.add.at(y, d["own"], share[text])
+    y /= np.maximum(times, 1)[:, None]
+    if sharp:
+        y = ((p >= HALF_SURE) & (y >= HALF_SURE / 2)).astype(np.float64)
+    y[d["known"]] = d["y"]
+    times[d["known"]] += 1
+    rows = np.flatnonzero(times)
+    return rows.astype(np.int32), y[rows].astype(np.float32)
+
+
+def _load(data: bytes) -> dict:
+    with np.load(io.BytesIO(data)) as z:
+        return {k: z[k] for k in z.files}
+
+
+def _each(parts: DataFrame, answer, ddl: str) -> DataFrame:
+    """``answer(row)`` of every row of arrays, one after the other."""
+    names = parts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.float32)
         for b in batches:
-            for t in b.column(0).to_pylist():
-                for s in sentences(t):
-                    np.add.at(counts, features(s), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], ["c"])
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                got = answer(dict(zip(names, row)))
+                yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in got], [c.split()[0] for c in ddl.split(", ")])
 
-    total = np.zeros(BUCKETS, np.float64)
-    for r in rows.select("text").coalesce(TRAIN_PARTITIONS).mapInArrow(run, "c binary").collect():
-        total += np.frombuffer(r.c, np.float32)
-    return total
+    return parts.mapInArrow(run, ddl)
 
 
-def fit(rows: DataFrame, classes: int, weights: Weights, rounds: int = ROUNDS, judge: Weights | None = None) -> Weights:
-    """Rounds of synchronised training over rows (text, target array<float>); partitions answer with one row each.
+def fit(parts: DataFrame, begin: Weights, sentences_: int, steps: int, epochs: int) -> Weights:
+    """Gradient steps of the logistic losses, each weight with its own falling rate.
 
-    With ``judge``, a sentence has a subject of its text only if those weights find it in the sentence too.
+    parts: data (arrays), goal (the sentences that learn and their targets). All sentences are gone through
+    ``epochs`` times in ``steps`` steps each; a step sums the gradients of all parts.
     """
-    spark = rows.sparkSession
-    rows = rows.select("text", "target").repartition(TRAIN_PARTITIONS, F.xxhash64("text")).sortWithinPartitions("text")  # the same order on every run
-    for k in range(rounds):
-        shared = spark.sparkContext.broadcast((_pack(weights), _pack(judge) if judge else None))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found: dict[str, list] = {}  # equal sentences of a partition learn from their mean target
-            for b in batches:
-                for text, target in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    for s in sentences(text):
-                        held = found.setdefault(s, [0, np.zeros(classes, np.float32)])
-                        held[0] += 1
-                        held[1] += target
-            if found:
-                bags, y = [features(s) for s in found], np.array([v[1] / v[0] for v in found.values()], np.float32)
-                if shared.value[1] is not None:
-                    p = np.array(Scorer(_unpack(shared.value[1], classes))(list(found)))
-                    y = ((p >= HALF_SURE) & (y >= HALF_SURE / 2)).astype(np.float32)
-                pick = np.random.default_rng(k).permutation(len(bags))[:ROUND_SENTENCES]
-                pick = np.tile(pick, max(1, ROUND_LEAST // len(pick)))
-                new = local_steps(_unpack(shared.value[0], classes), [bags[i] for i in pick], y[pick], k)
-                yield pa.RecordBatch.from_arrays([pa.array([_pack(new)], pa.binary())], ["w"])
-
-        got = [_unpack(r.w, classes) for r in rows.mapInArrow(run, "w binary").collect()]
-        if got:
-            # A bucket that only some partitions saw keeps their change undivided.
-            moved = [np.abs(g.emb - weights.emb).sum(axis=1) > 0 for g in got]
-            seen = np.maximum(np.sum(moved, axis=0), 1)[:, None]
-            emb = weights.emb + sum(g.emb - weights.emb for g in got) / seen
-            weights = Weights(emb, np.mean([g.out for g in got], axis=0), np.mean([g.bias for g in got], axis=0), weights.rarity)
-        shared.unpersist()
-    return weights
+    spark, classes = parts.sparkSession, len(begin.bias)
+    w = Weights(begin.emb.copy(), begin.out.copy(), begin.bias.copy(), begin.rarity)
+    g_emb, g_out, g_bias = np.full(BUCKETS, 1e-4, np.float32), np.full(w.out.shape, 1e-2, np.float32), np.full(w.bias.shape, 1e-1, np.float32)
+    for epoch in range(epochs if sentences_ else 0):
+        for k in range(steps):
+            shared = spark.sparkContext.broadcast(_pack(w))  # a fixed size
+
+            def gradient(row: dict) -> list[bytes]:
+                d, goal, now = _load(row["data"]), _load(row["goal"]), _unpack(shared.value, classes)
+                mine = np.array_split(np.random.default_rng(epoch).permutation(len(goal["rows"])), steps)[k]
+                return [_to_bytes(*_gradient(now, Bags(d["idx"], d["size"], now.rarity), goal["rows"][mine], goal["y"][mine]))]
+
+            got = [_from_bytes(r.g, classes) for r in _each(parts, gradient, "g binary").collect()]  # one gradient a part
+            shared.unpersist()
+            idx, rows = _sum_rows(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
+            step, lean = sum(g[2] for g in got), sum(g[3] for g in got)
+            g_emb[idx] += (rows**2).mean(axis=1)
+            w.emb[idx] -= RATE * rows / np.sqrt(g_emb[idx])[:, None]
+            g_out += step**2
+            w.out -= RATE * step / np.sqrt(g_out)
+            g_bias += lean**2
+            w.bias -= RATE * lean / np.sqrt(g_bias)
+    return w
+
+
+def _pack(w: Weights) -> bytes:
+    return np.concatenate([w.emb.ravel(), w.out.ravel(), w.bias, w.rarity]).astype(np.float32).tobytes()
+
+
+def _unpack(data: bytes, classes: int) -> Weights:
+    flat = np.frombuffer(data, np.float32)
+    a, b = BUCKETS * DIM, BUCKETS * DIM + DIM * classes
+    return Weights(flat[:a].reshape(BUCKETS, DIM), flat[a:b].reshape(DIM, classes), flat[b : b + classes], flat[b + classes :])
 
 
 class Scorer:
@@ -204,13 +284,13 @@ class Scorer:
             fresh = list(set(texts))
         if fresh:
             idx, owner, share = _flat([features(t) for t in fresh], self.rarity)
-            p = 1 / (1 + np.exp(-np.clip(_mean(self.scores[idx], owner, share) + self.bias, -30, 30)))
+            p = _sigmoid(_mean(self.scores[idx], owner, share) + self.bias)
             self.known.update(zip(fresh, p))
         return [self.known[t] for t in texts]
 
 
-def shares(docs: DataFrame, names: list[str], weights: Weights, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """``key``, n_sentences, shares (array of the share of sentences of each subject, in the order of ``names``); the text with ``keep``."""
+def shares(docs: DataFrame, names: list[str], weights: Weights, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, n_sentences, shares (array of the share of sentences of each subject, in the order of ``names``)."""
     shared = docs.sparkSession.sparkContext.broadcast(_pack(weights))  # a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,28 +301,53 @@ def shares(docs: DataFrame, names: list[str], weights: Weights, key: str = "doc_
                 p = scorer(sentences(t))
                 counts.append(len(p))
                 found.append((np.array(p) >= SURE).mean(axis=0).tolist() if p else [0.0] * len(names))
-            more = [pa.array(b.column(1).to_pylist(), pa.string())] if keep else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.float64())), *more], [key, "n_sentences", "shares", "text"][: 3 + keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int32()), pa.array(found, pa.list_(pa.float64()))], [key, "n_sentences", "shares"])
 
     rows = docs.select(key, text)
-    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_sentences int, shares array<double>" + ", text string" * keep)
+    return rows.mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, n_sentences int, shares array<double>")
 
 
 def train(docs: DataFrame, areas: DataFrame, examples: DataFrame) -> tuple[list[str], Weights]:
     """Subject names and weights. Areas and examples are fixed small tables."""
     names = sorted({r.subject for r in areas.select("subject").collect() if r.subject})
-    order = F.array(*[F.lit(n) for n in names])
-    hot = F.transform(order, lambda n: (n == F.col("subject")).cast("float"))
+    classes = len(names)
+    hot = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: (n == F.col("subject")).cast("float"))
     labelled = examples.where(F.col("subject").isin(names) & F.col("text").isNotNull()).select("text", hot.alias("target"))
-    sample = written(bounded_sample(docs.where("text IS NOT NULL").select("doc_id", "text"), ["doc_id"], TRAIN_DOCS).repartition(TRAIN_PARTITIONS), "subject-sample")
-    counts = bucket_counts(sample.select("text").unionByName(labelled.select("text")))
-    weights = fit(labelled, len(names), start(len(names), counts))
-    share = F.transform("shares", lambda x: F.least(F.lit(1.0), x / 0.8).cast("float"))
-    for sharp in (False, False, True):
-        told = shares(sample, names, weights, keep=True)
-        rows = told.where("n_sentences > 0").select("text", share.alias("target"))
-        judge = weights if sharp else None
-        weights = fit(written(rows.unionByName(labelled), "subject-targets"), len(names), start(len(names), counts), judge=judge)
+    sample = bounded_sample(docs.where("text IS NOT NULL").select("doc_id", "text"), ["doc_id"], TRAIN_DOCS)
+    rows = sample.select("text", F.lit(None).cast("array<float>").alias("target")).unionByName(labelled)
+    rows = rows.repartition(TRAIN_PARTITIONS, F.xxhash64("text")).sortWithinPartitions("text", "target")  # the same order on every run
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, targets = [], []
+        for b in batches:
+            texts += b.column(0).to_pylist()
+            targets += b.column(1).to_pylist()
+        yield pa.RecordBatch.from_arrays([pa.array([prepared(texts, targets, classes)], pa.binary())], ["data"])
+
+    def counted(row: dict) -> list[bytes]:
+        d = _load(row["data"])
+        times = np.bincount(d["own"], minlength=len(d["size"])) + np.bincount(d["known"], minlength=len(d["size"]))
+        return [np.bincount(d["idx"], np.repeat(times, d["size"]), BUCKETS).astype(np.float32).tobytes(), np.int64([len(d["size"]), len(d["known"])]).tobytes()]
+
+    def goal(w: Weights | None, sharp: bool = False) -> DataFrame:
+        shared = docs.sparkSession.sparkContext.broadcast(_pack(w)) if w else None
+
+        def run(row: dict) -> list[bytes]:
+            d, out = _load(row["data"]), io.BytesIO()
+            found, y = targets_of(d, _unpack(shared.value, classes), sharp) if shared else (d["known"], d["y"])
+            np.savez(out, rows=found, y=y)
+            return [row["data"], out.getvalue()]
+
+        return written(_each(parts, run, "data binary, goal binary"), "subject-goals")
+
+    parts = written(rows.mapInArrow(read, "data binary"), "subject-features")
+    told = _each(parts, counted, "c binary, n binary").collect()  # fixed sizes, one row a part
+    total, known = np.sum([np.frombuffer(r.n, np.int64) for r in told], axis=0)
+    begin = start(classes, np.sum([np.frombuffer(r.c, np.float32) for r in told], axis=0, dtype=np.float64))
+    weights = fit(goal(None), begin, known, 1, LABELLED_STEPS)
+    for k in range(ROUNDS):
+        steps = max(1, -(-int(total) // BATCH))
+        weights = fit(goal(weights, k == ROUNDS - 1), begin, total, steps, max(EPOCHS, -(-STEPS // steps)))
     return names, weights
 
 
