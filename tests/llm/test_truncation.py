@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 from cliplake.llm.truncation import _tail, folded, hazards, p6_rates, truncated
 
@@ -65,6 +67,19 @@ def test_tail():
     assert _tail(1000, 200, 0.01) < 1e-100 and _tail(5, 1, 0.0) == 0.0
 
 
+def test_tail_equals_the_sum_and_stays_fast():
+    r = random.Random(5)
+    for _ in range(400):
+        n, p = r.randint(1, 300), r.random() ** 2
+        k = r.randint(0, n)
+        want = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert abs(_tail(n, k, p) - want) <= 1e-9 + 1e-7 * want
+    began = time.time()
+    for n in (10**6, 10**8, 10**10):
+        assert 0.49 < _tail(n, n // 20, 0.05) < 0.51 and _tail(n, n // 10, 0.05) < 1e-100 and _tail(n, n // 40, 0.05) > 0.999
+    assert time.time() - began < 1
+
+
 def test_folded():
     assert folded("Ｗhy tо 12​") == "why to 00" and folded(None) is None
 
