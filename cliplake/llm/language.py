@@ -1,26 +1,28 @@
 """Language of documents and of the segments of mixed ones, with calibrated confidence.
 
 Model: averaged embeddings of hashed subword grams (1 to 3 characters) under a linear softmax, trained by
-stochastic gradient descent in numpy on the driver. Training text is a bounded sample of labelled rows
-(``TRAIN_ROWS``, by hash of the key); its labels are themselves partly wrong, so a first fit drops the
-sentences it contradicts and the labels that no text supports, and a second fit learns from the rest. A
-temperature fitted on held-out sentences calibrates the confidence; below the rejection threshold, chosen on
-the same sentences, no language is assigned. For scoring, embedding and softmax weights fold into one table
+stochastic gradient descent in numpy, each fit a task of its own. Training text is a bounded sample of
+labelled rows (``TRAIN_ROWS``, by hash of the key); its labels are themselves partly wrong, so two fits on
+halves drop the sentences they contradict and the labels that no text supports, and a third learns from the
+rest. Sentences of rightly labelled examples that no fit has seen calibrate the confidence: a temperature is
+fitted on one half of them, and on the other the rejection threshold is chosen, below which no language is
+assigned. For scoring, embedding and softmax weights fold into one table
 gram -> class scores, so whole texts are scored by table look-ups on Arrow batches where they are read.
 
 Defined results: NULL or empty text has language 'und' with confidence 0; segments without speech are not
-scored; repeated rows repeat; an empty or label-free training sample gives a model that rejects everything.
+scored; a transcript without stored segments has the lines of its raw text as segments (not ``stored``); repeated rows repeat; an empty or label-free training sample gives a model that rejects everything.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cliplake.llm.speech import letters, read_segments, stored_segments
@@ -30,6 +32,8 @@ from cliplake.sources.tables import table
 BUCKETS, DIM, ORDERS = 1 << 16, 16, (1, 2, 3)
 #: Bounds of the training sample: labelled rows, and sentences of one row.
 TRAIN_ROWS, TRAIN_SENTENCES = 4000, 8
+#: Tasks that read the sample.
+SAMPLE_PARTS = 16
 TARGET_ACCURACY = 0.995
 #: A fit sees about STEPS sentences, in 2 to MAX_EPOCHS passes; FOLD_BLOCK neighbours of the sample share a fold.
 STEPS, MAX_EPOCHS, FOLD_BLOCK = 36_000, 12, 64
@@ -135,96 +139,142 @@ def _fit(texts: list[str], y: np.ndarray, classes: int, seed: int = 7) -> tuple[
     w, b = rng.normal(0, 0.1, (DIM, classes)).astype(np.float32), np.zeros(classes, np.float32)
     share = np.bincount(y, minlength=classes) / len(y)
     weight = np.minimum(4.0, np.sqrt(1 / classes / np.maximum(share, 1e-9))).astype(np.float32)
+    found, owner = grams(texts)
+    found = found[np.argsort(owner, kind="stable")].astype(np.int64)
+    count = np.bincount(owner, minlength=len(texts))  # no text is without grams, as each is padded
+    first = np.r_[0, np.cumsum(count)[:-1]]
     size, epochs = 32, int(min(MAX_EPOCHS, max(2, STEPS // max(1, len(texts)))))
     for epoch in range(epochs):
         rate = 0.6 * (1 - epoch / epochs)
         order = rng.permutation(len(texts))
         for at in range(0, len(order), size):
             part = order[at : at + size]
-            idx, owner = grams([texts[i] for i in part])
-            count = np.maximum(np.bincount(owner, minlength=len(part)), 1).astype(np.float32)
-            hidden = np.stack([np.bincount(owner, emb[idx, d], len(part)) for d in range(DIM)], axis=1).astype(np.float32) / count[:, None]
+            n = count[part]
+            begin = np.r_[0, np.cumsum(n)[:-1]]
+            idx = found[np.repeat(first[part] - begin, n) + np.arange(n.sum())]
+            hidden = np.add.reduceat(emb[idx], begin, axis=0) / n[:, None].astype(np.float32)
             z = hidden @ w + b
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), y[part]] -= 1
             p *= weight[y[part], None]
-            back = (p @ w.T) * (EMBEDDING_RATE * rate / count[:, None])
+            back = ((p @ w.T) * (EMBEDDING_RATE * rate / n[:, None])).astype(np.float32)
             w -= (4 * rate / len(part)) * (hidden.T @ p)
             b -= rate * p.sum(axis=0) / len(part)
-            np.subtract.at(emb, idx, back[owner])
-    return emb @ w, b
+            by = np.argsort(idx, kind="stable")
+            idx = idx[by]
+            runs = np.flatnonzero(np.r_[True, idx[1:] != idx[:-1]])
+            emb[idx[runs]] -= np.add.reduceat(np.repeat(back, n, axis=0)[by], runs, axis=0)
+    return (emb @ w).astype(np.float32), b
 
 
-def train(samples: Iterable[tuple[str, str]], seed: int = 7) -> Model:
-    """From (language code, sentence) pairs with partly wrong codes."""
-    samples = [(c, t) for c, t in samples if t and c]
+def _fits(spark: SparkSession, texts: list[str], y: np.ndarray, classes: int, sets: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """One fit on each set of rows, side by side as tasks; the sample is bounded, and so is what comes back."""
+    shared = spark.sparkContext.broadcast((texts, y, sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column(0).to_pylist():
+                texts, y, sets = shared.value
+                scores, bias = _fit([texts[i] for i in sets[k]], y[sets[k]], classes)
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([scores.tobytes()], pa.binary()), pa.array([bias.tobytes()], pa.binary())], ["k", "scores", "bias"])
+
+    rows = spark.range(0, len(sets), 1, len(sets)).mapInArrow(run, "k bigint, scores binary, bias binary").collect()
+    shared.unpersist()
+    return [(np.frombuffer(r.scores, np.float32).reshape(BUCKETS, classes), np.frombuffer(r.bias, np.float32)) for r in sorted(rows)]
+
+
+def train(spark: SparkSession, noisy: Iterable[tuple[str, str]], clean: Iterable[tuple[str, str]] = ()) -> Model:
+    """From (language code, sentence) pairs with partly wrong codes; ``clean`` ones are right and only calibrate.
+
+    Without clean pairs an eighth of the noisy ones is held out, whatever the fits think of them.
+    """
+    samples = [(c, t) for c, t in noisy if t and c]
+    clean = [(c, t) for c, t in clean if t and c]
     if not samples:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
+    if not clean:
+        held = [zlib.crc32(t.encode("utf-8", "surrogatepass")) % 8 == 0 for _, t in samples]
+        if any(held) and not all(held):
+            clean, samples = [s for s, h in zip(samples, held) if h], [s for s, h in zip(samples, held) if not h]
     codes = sorted({c for c, _ in samples})
     y = np.array([codes.index(c) for c, _ in samples])
     texts = [t for _, t in samples]
     # Two folds of whole blocks of the sample judge each other's labels.
     fold = np.arange(len(samples)) // FOLD_BLOCK % 2
-    guess = np.zeros(len(samples), int)
-    for side in (0, 1):
-        own, other = np.flatnonzero(fold == side), np.flatnonzero(fold != side)
-        if len(own) and len(other):
-            scores, bias = _fit([texts[i] for i in own], y[own], len(codes))
+    guess = y.copy()
+    if len(set(fold)) == 2:
+        for side, (scores, bias) in enumerate(_fits(spark, texts, y, len(codes), [np.flatnonzero(fold == k) for k in (0, 1)])):
+            other = np.flatnonzero(fold != side)
             guess[other] = Model(codes, scores, bias, 1.0, 0.0).probabilities([texts[i] for i in other]).argmax(axis=1)
-        else:
-            guess = y.copy()
     kept = [k for k in range(len(codes)) if (guess[y == k] == k).mean() > 0.5] or list(range(len(codes)))
-    sure = (guess == y) & np.isin(y, kept)
-    order = np.random.default_rng(seed).permutation(np.flatnonzero(sure))
-    codes2 = [codes[k] for k in kept]
-    t2, y2 = [texts[i] for i in order], np.array([kept.index(y[i]) for i in order])
-    held = max(1, len(t2) // 8)
-    scores, bias = _fit(t2[held:] or t2, y2[held:] if len(t2) > held else y2, len(codes2))
-    m = Model(codes2, scores.astype(np.float32), bias, 1.0, 0.0)
-    raw = np.log(np.maximum(m.probabilities(t2[:held]), 1e-9))
-    best = None
-    for temperature in (0.15, 0.2, 0.3, 0.4, 0.5, 0.7, 1.0, 1.4, 2.0):
-        q = np.exp(raw / temperature)
-        q /= q.sum(axis=1, keepdims=True)
-        loss = -np.log(np.maximum(q[np.arange(held), y2[:held]], 1e-9)).mean()
-        if best is None or loss < best[0]:
-            best = (loss, temperature, q)
-    _, m.temperature, q = best
-    right, sure_of = q.argmax(axis=1) == y2[:held], q.max(axis=1)
-    m.threshold = next((t for t in np.linspace(0.3, 0.95, 27) if right[sure_of >= t].mean() >= TARGET_ACCURACY), 0.95) if right.any() else 1.0
+    sure = np.flatnonzero((guess == y) & np.isin(y, kept))
+    codes2, y2 = [codes[k] for k in kept], np.array([kept.index(k) if k in kept else 0 for k in y])
+    ((scores, bias),) = _fits(spark, texts, y2, len(codes2), [sure if len(sure) else np.arange(len(y))])
+    m = Model(codes2, scores, bias, 1.0, 0.0)
+    clean = [(codes2.index(c), t) for c, t in clean if c in codes2]
+    calibrate(m, clean)
     return m
 
 
+def calibrate(m: Model, clean: list[tuple[int, str]]) -> None:
+    """Temperature from one half of the held-out sentences (by hash), rejection threshold from the other."""
+    halves: list[list[tuple[int, str]]] = [[], []]
+    for c, t in clean:
+        halves[zlib.crc32(t.encode("utf-8", "surrogatepass")) % 2].append((c, t))
+    one, two = halves
+    if one:
+        y, raw = np.array([c for c, _ in one]), np.log(np.maximum(m.probabilities([t for _, t in one]), 1e-30))
+
+        def loss(temperature: float) -> float:
+            z = raw / temperature
+            return float((np.log(np.exp(z - z.max(axis=1, keepdims=True)).sum(axis=1)) + z.max(axis=1) - z[np.arange(len(y)), y]).mean())
+
+        m.temperature = min(np.geomspace(0.02, 4.0, 60), key=loss)
+    if two:
+        p = m.probabilities([t for _, t in two])
+        right, sure_of = p.argmax(axis=1) == np.array([c for c, _ in two]), p.max(axis=1)
+        m.threshold = next((float(t) for t in np.linspace(0.3, 0.95, 27) if (sure_of >= t).any() and right[sure_of >= t].mean() >= TARGET_ACCURACY), 0.95)
+
+
 _SENTENCE = re.compile(r"[^.!?。！？\n]+[.!?。！？]?")
 
 
-def training_samples(transcripts: DataFrame, examples: DataFrame) -> list[tuple[str, str]]:
-    """(code, sentence): TRAIN_ROWS labelled transcripts by hash of the id, and the labelled examples."""
+def training_samples(transcripts: DataFrame, examples: DataFrame) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """(code, sentence) of TRAIN_ROWS labelled transcripts by hash of the id, and of the rightly labelled examples."""
     rows = transcripts.where("language IS NOT NULL AND text_full IS NOT NULL").select("video_id", "language", "text_full")
-    out = []
-    for r in bounded_sample(rows, ["video_id", "language"], TRAIN_ROWS).collect():
-        code = language_code(r.language)
-        if code is None:
-            continue
-        spoken = " ".join(s.spoken for s in read_segments(None, r.text_full))
-        parts = [s.strip() for s in _SENTENCE.findall(spoken) if letters(s) >= 6]
-        out += [(code, s) for s in parts[:: max(1, len(parts) // TRAIN_SENTENCES)][:TRAIN_SENTENCES]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, SLICE_ROWS) for x in batches for at in range(0, x.num_rows, SLICE_ROWS)):
+            ids, labels, texts = (c.to_pylist() for c in b.columns)
+            found = []
+            for text in texts:
+                spoken = " ".join(s.spoken for s in read_segments(None, text))
+                parts = [s.strip() for s in _SENTENCE.findall(spoken) if letters(s) >= 6]
+                found.append(parts[:: max(1, len(parts) // TRAIN_SENTENCES)][:TRAIN_SENTENCES])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array([language_code(x) for x in labels], pa.string()), pa.array(found, pa.list_(pa.string()))], ["id", "code", "parts"])
+
+    sample = bounded_sample(rows, ["video_id", "language"], TRAIN_ROWS).repartition(SAMPLE_PARTS, F.xxhash64("video_id"))
+    parsed = sample.mapInArrow(run, "id string, code string, parts array<string>").where("code IS NOT NULL AND size(parts) > 0")
+    # Only a few sentences of each row of the bounded sample reach the driver, in an order of their own.
+    out = [(r.code, s) for r in sorted(parsed.collect(), key=lambda r: (zlib.crc32((r.id or "").encode()), r.id or "", r.code, r.parts)) for s in r.parts]
+    clean = []
     for r in bounded_sample(examples.select("lang", "text"), ["text", "lang"], TRAIN_ROWS).collect():
         if (code := language_code(r.lang)) and r.text:
-            out += [(code, s.strip()) for s in _SENTENCE.findall(r.text)]
-    return out
+            clean += [(code, s.strip()) for s in _SENTENCE.findall(r.text)]
+    return out, clean
 
 
-OUT = "video_id string, label string, seg_no bigint, language string, confidence double, main boolean"
+OUT = "video_id string, label string, seg_no bigint, language string, confidence double, main boolean, stored boolean"
 
 
 def transcript_languages(transcripts: DataFrame, model: Model) -> DataFrame:
-    """video_id, label, seg_no, language, confidence, main: one row per transcript (seg_no -1) and per spoken segment.
+    """video_id, label, seg_no, language, confidence, main, stored: one row per transcript (seg_no -1) and per spoken segment.
 
     The language of the transcript is that of most of its spoken segments (ties: the surer one), or of the
-    whole text if there are no segments. A rejected text has language 'und'.
+    whole text if there are no stored segments; then the spoken lines of the text are its segments, and seg_no
+    counts them. A rejected text has language 'und'.
     """
     codes = [*model.codes, "und"]
     holder = transcripts.sparkSession.sparkContext.broadcast(model)  # a fixed-size table of a few MB
@@ -240,23 +290,25 @@ def transcript_languages(transcripts: DataFrame, model: Model) -> DataFrame:
             ids, labels, segments, texts = (c.to_pylist() for c in b.columns)
             spoken: list[str] = []
             where: list[tuple[int, int]] = []
+            stored: list[bool] = []
             for i, (j, t) in enumerate(zip(segments, texts)):
-                segs = read_segments(j, t)
-                if stored_segments(j) is None:
-                    segs = [segs[0]._replace(spoken=" ".join(s.spoken for s in segs))] if segs else []
-                    where += [(i, -1)] * len(segs)
-                    spoken += [s.spoken for s in segs]
-                    continue
+                segs, raw = read_segments(j, t), stored_segments(j) is None
+                if raw and segs:
+                    where.append((i, -1))
+                    spoken.append(" ".join(s.spoken for s in segs))
                 for s in segs:
                     if letters(s.spoken):
                         where.append((i, s.position))
                         spoken.append(s.spoken)
+                stored.append(not raw)
             best, sure = pick(holder.value.probabilities(spoken))
             votes = np.zeros((len(ids), len(codes)))
             mass = np.zeros((len(ids), len(codes)))
-            row = np.array([w[0] for w in where], dtype=int)
-            np.add.at(votes, (row, best), 1)
-            np.add.at(mass, (row, best), sure)
+            # A stored transcript is judged by its segments, a raw one by its whole text.
+            judge = np.array([(w[1] >= 0) == stored[w[0]] for w in where], dtype=bool)
+            row = np.array([w[0] for w in where], dtype=int)[judge]
+            np.add.at(votes, (row, best[judge]), 1)
+            np.add.at(mass, (row, best[judge]), sure[judge])
             votes[:, -1] *= 1e-6  # rejected segments decide only where nothing else was found
             main = (votes + mass * 1e-9).argmax(axis=1)
             seen = votes.sum(axis=1) > 0
@@ -274,8 +326,9 @@ def transcript_languages(transcripts: DataFrame, model: Model) -> DataFrame:
                     pa.array(lang, pa.string()),
                     pa.array([float(s) for s in share] + [float(sure[k]) for k in keep], pa.float64()),
                     pa.array([True] * len(ids) + [bool(best[k] == main[where[k][0]]) for k in keep], pa.bool_()),
+                    pa.array([stored[i] for i in rows], pa.bool_()),
                 ],
-                ["video_id", "label", "seg_no", "language", "confidence", "main"],
+                ["video_id", "label", "seg_no", "language", "confidence", "main", "stored"],
             )
 
     rows = transcripts.where("video_id IS NOT NULL").select("video_id", "language", "segments_json", "text_full")
@@ -285,12 +338,12 @@ def transcript_languages(transcripts: DataFrame, model: Model) -> DataFrame:
 def p2_languages(spark, folder: str) -> DataFrame:
     """Language and confidence of every transcript and every spoken segment."""
     t = table(spark, folder, "transcripts")
-    return transcript_languages(t, train(training_samples(t, table(spark, folder, "subject_examples"))))
+    return transcript_languages(t, train(spark, *training_samples(t, table(spark, folder, "subject_examples"))))
 
 
 def p2_found(spark, folder: str) -> DataFrame:
     """Transcripts whose label is missing or wrong (seg_no -1) and segments in another than the main language."""
     code = F.pandas_udf(lambda s: s.map(language_code), "string")
-    found = p2_languages(spark, folder).where("language != 'und'").where("(seg_no = -1) OR NOT main")
+    found = p2_languages(spark, folder).where("language != 'und'").where("seg_no = -1 OR (stored AND NOT main)")
     wrong = (F.col("seg_no") >= 0) | ~F.col("label_code").eqNullSafe(F.col("language"))
     return found.withColumn("label_code", code("label")).where(wrong).select("video_id", "seg_no", "language").distinct()

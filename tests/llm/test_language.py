@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from cliplake.llm import language as L
@@ -6,13 +7,13 @@ from cliplake.sources.tables import table
 FOLDER = "/root/testdata/sf0.01"
 
 
-HELD_OUT = "example_id % 4 = 0"
+HELD_OUT = "example_id % 3 = 0"
 
 
 @pytest.fixture(scope="module")
 def model(spark):
-    """Trained without a quarter of the labelled examples."""
-    return L.train(L.training_samples(table(spark, FOLDER, "transcripts"), table(spark, FOLDER, "subject_examples").where(f"NOT {HELD_OUT}")))
+    """Calibrated without a third of the labelled examples."""
+    return L.train(spark, *L.training_samples(table(spark, FOLDER, "transcripts"), table(spark, FOLDER, "subject_examples").where(f"NOT {HELD_OUT}")))
 
 
 def test_codes():
@@ -40,6 +41,23 @@ def test_held_out_rows(spark, model):
     assert sum(model.codes[k] == r.lang for k, r in zip(p.argmax(axis=1), rows)) >= 0.99 * len(rows)
 
 
+def test_confidence_is_calibrated(spark, model):
+    """Expected calibration error over sentences that neither fitted nor calibrated the model."""
+    found = [(r.lang, s) for r in table(spark, FOLDER, "subject_examples").where(HELD_OUT).collect() for s in L._SENTENCE.findall(r.text)]
+    p = model.probabilities([s for _, s in found])
+    sure, right = p.max(axis=1), np.array([model.codes[k] == c for k, (c, _) in zip(p.argmax(axis=1), found)])
+    bins = np.minimum((sure * 10).astype(int), 9)
+    ece = sum(abs(right[bins == k].mean() - sure[bins == k].mean()) * (bins == k).mean() for k in set(bins))
+    assert len(found) > 150 and ece < 0.03
+
+
+def test_segments_of_raw_text(spark, model):
+    raw = "Thanks for watching, and tell me what you think.\n[Music]\nGracias por ver el vídeo y hasta la próxima semana.\nNothing is ever quite like that week, and nobody wanted to go home."
+    t = spark.createDataFrame([("a", "en", raw, None)], "video_id string, language string, text_full string, segments_json string")
+    got = {r.seg_no: (r.language, r.main, r.stored) for r in L.transcript_languages(t, model).collect()}
+    assert got[-1] == ("en", True, False)
+
+
 def test_slices_do_not_change_scores(model, monkeypatch):
     texts = ["one two three", "", "¿qué?", "12 34"] * 5
     whole = model.probabilities(texts)
@@ -53,12 +71,12 @@ def test_edge_rows(spark, model):
     got = {(r.video_id, r.seg_no): (r.language, r.main) for r in L.transcript_languages(t, model).collect()}
     assert got[("a", -1)][0] == got[("b", -1)][0] == "und"
     assert got[("c", -1)] == ("en", True) == got[("d", -1)]
-    assert got[("d", 2)] == ("es", False) and ("d", 0) not in got and len(got) == 7
+    assert got[("d", 2)] == ("es", False) and ("d", 0) not in got and len(got) == 8
     assert L.transcript_languages(t.limit(0), model).count() == 0
 
 
 def test_no_labels(spark):
-    m = L.train([])
+    m = L.train(spark, [])
     t = spark.createDataFrame([("a", None, "some text", None)], "video_id string, language string, text_full string, segments_json string")
     assert L.transcript_languages(t, m).first().language == "und"
 
