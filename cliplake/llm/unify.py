@@ -1,7 +1,7 @@
 """One consistent form of text that looks the same: invisible characters, spaces, accents, wide and joined forms, look-alikes.
 
-Values that hold nothing but printable ASCII are already consistent and pass through. Of the others, each
-distinct value is exploded to positioned code points, which meet three broadcast mappings built from the
+Values that hold no character the mappings change, and no letters of two scripts, are already consistent and
+pass through. Of the others, each distinct value is exploded to positioned code points, which meet three broadcast mappings built from the
 Unicode data by rule (their size is fixed by Unicode): decompositions with combining classes, look-alike
 letters, and compositions. Combining marks are ordered by class within their cluster, clusters recomposed,
 and the string rebuilt by position.
@@ -9,8 +9,9 @@ and the string rebuilt by position.
 What changes: invisible characters go (joiners and variation selectors stay inside emoji), every kind of
 space becomes U+0020, letters with separate accents are composed, wide and joined forms of letters and
 digits become the ordinary ones, and a letter of another script that stands in for a look-alike within a
-word becomes the letter of the word's own script. Words wholly in one script, wide punctuation, emoji, signs
-and symbols stay. Defined results: NULL stays NULL, '' stays ''; a value of only invisible characters
+word becomes the letter of the word's own script. A word is changed only if all its foreign letters have such
+a look-alike, so none is swapped by halves. Words wholly in one script, wide punctuation, emoji (with their
+joiners, selectors and flag tags), signs and symbols stay. Defined results: NULL stays NULL, '' stays ''; a value of only invisible characters
 becomes ''; repeated values count once here and come back with every row that has them.
 """
 
@@ -30,6 +31,11 @@ LOOK_ALIKES = {
     "P": "РΡ", "S": "Ѕ", "T": "ТΤ", "X": "ХΧ", "Y": "УΥ", "Z": "Ζ", "a": "а", "c": "с", "e": "е", "i": "і", "j": "ј",
     "o": "оο", "p": "рρ", "s": "ѕ", "v": "ν", "x": "х", "y": "у", "h": "һ", "d": "ԁ", "q": "ԛ", "w": "ԝ",
 }
+#: The same for Armenian and Cherokee letters, which only stand in for Latin ones.
+RARE_LOOK_ALIKES = {
+    "A": "Ꭺ", "B": "Ᏼ", "C": "Ꮯ", "D": "Ꭰ", "E": "Ꭼ", "G": "Ꮐ", "H": "Ꮋ", "J": "Ꭻ", "K": "Ꮶ", "L": "Ꮮ", "M": "Ꮇ", "O": "Օ", "P": "Ꮲ", "R": "Ꭱ",
+    "S": "ՏᏚ", "T": "Ꭲ", "U": "Ս", "V": "Ꮩ", "W": "Ꮃ", "Z": "Ꮓ", "g": "ց", "h": "հ", "j": "յ", "o": "օ", "q": "զ", "u": "ս",
+}
 #: Non-ordinary spaces are all of category Zs but U+0020. Invisible: category Cf, and these.
 MORE_INVISIBLE = "\u034f\u115f\u1160\u17b4\u17b5\u180b\u180c\u180d\u3164\uffa0\ufe00\ufe01\ufe02\ufe03\ufe04\ufe05\ufe06\ufe07\ufe08\ufe09\ufe0a\ufe0b\ufe0c\ufe0d\ufe0e\ufe0f"
 
@@ -39,7 +45,7 @@ def _script(c: str) -> str:
     for s in ("LATIN", "CYRILLIC", "GREEK"):
         if name.startswith((s, f"FULLWIDTH {s}")):
             return s[0]
-    return ""
+    return "O" if name.startswith(("ARMENIAN", "CHEROKEE")) else ""
 
 
 @lru_cache(1)
@@ -54,8 +60,11 @@ def characters() -> list[tuple]:
         family = {"L": latin} | {_script(o): o for o in others}
         for c in family.values():
             twins[c] = family
+    for latin, others in RARE_LOOK_ALIKES.items():
+        twins |= {o: twins.get(latin, {"L": latin}) for o in others}
+        twins.setdefault(latin, {"L": latin})
     out = []
-    for cp in range(0x20, 0x20000):
+    for cp in (9, 11, 12, *range(0x20, 0x110000)):
         c = chr(cp)
         cat = unicodedata.category(c)
         if cat in ("Cn", "Cs", "Co"):
@@ -64,7 +73,7 @@ def characters() -> list[tuple]:
         dec = unicodedata.decomposition(c)
         ccc = unicodedata.combining(c)
         letter = cat[0] in "LN" or cat[0] == "M"
-        if cat == "Cf" and not 0xE0020 <= cp <= 0xE007F or c in MORE_INVISIBLE:
+        if cat == "Cf" or c in MORE_INVISIBLE or 0xE0100 <= cp <= 0xE01EF:
             kind = "invisible"
         elif cat == "Zs" and c != " " or c in "\t\x0b\x0c\x85\u2028\u2029":
             kind = "space"
@@ -96,7 +105,7 @@ def characters() -> list[tuple]:
 def compositions() -> list[tuple[str, str]]:
     """(decomposed, composed) of every character that normal form C keeps."""
     pairs = []
-    for cp in range(0xC0, 0x20000):
+    for cp in range(0xC0, 0x110000):
         c = chr(cp)
         dec = unicodedata.decomposition(c)
         if dec and not dec.startswith("<") and not 0xAC00 <= cp <= 0xD7A3 and unicodedata.normalize("NFC", c) == c:
@@ -104,9 +113,19 @@ def compositions() -> list[tuple[str, str]]:
     return pairs
 
 
+#: Holds every character that the mappings change (and some more): marks, invisible characters, spaces, forms, letters with a canonical twin, what the JVM doesn't know yet.
+SUSPECT = (
+    r"[\p{M}\p{Cf}\p{Cn}\t\x0b\x0c\x{85}\x{2028}\x{2029}\x{115f}\x{1160}\x{3164}\x{ff00}-\x{ffef}\x{fb00}-\x{fb4f}\x{f900}-\x{faff}\x{1f00}-\x{1fff}\x{374}\x{37e}\x{387}\x{2000}-\x{200f}"
+    r"\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{fb9}\x{1d15e}-\x{1d1c0}\x{1d400}-\x{1d7ff}\x{2f800}-\x{2fa1f}]"
+    r"|[\p{Zs}&&[^ ]]"
+)
+_SCRIPTS = (r"\p{IsLatin}", r"\p{IsCyrillic}", r"\p{IsGreek}", r"[\p{IsArmenian}\p{IsCherokee}]")
+
+
 def plain(c: Column) -> Column:
-    """Whether the value is certainly consistent: printable ASCII and line ends only."""
-    return c.rlike(r"^[\x20-\x7e\r\n]*$")
+    """Whether the value is certainly consistent: no character of SUSPECT, and letters of one of the look-alike scripts at most."""
+    scripts = reduce(Column.__add__, [c.rlike(s).cast("int") for s in _SCRIPTS])
+    return c.rlike(r"^[\x20-\x7e\r\n]*$") | (~c.rlike(SUSPECT) & (scripts < 2))
 
 
 def unified(values: DataFrame, column: str = "value") -> DataFrame:
@@ -118,8 +137,10 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
     comp = F.broadcast(spark.createDataFrame(compositions(), "cluster string, composed string"))
     v = values.select(F.col(column).alias("value")).where(F.col("value").isNotNull() & ~plain(F.col("value")))
     # The characters carry a digest of their value, not the value: a long one would be repeated per character.
-    # Grouping by the digest leaves the rows where all windows below want them: the one shuffle of values.
-    v = v.withColumn("vid", F.unhex(F.md5("value"))).groupBy("vid").agg(F.first("value").alias("value"))
+    # Grouping by the digest leaves the rows where all windows below want them: the one shuffle of values. Its
+    # number of partitions is set, as their bytes say nothing of the characters they hold.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    v = v.withColumn("vid", F.unhex(F.sha2("value", 256))).repartition(parts, "vid").groupBy("vid").agg(F.first("value").alias("value"))
     at = v.select("vid", F.posexplode(F.regexp_extract_all("value", F.lit(r"(?s)(.)"), 1)).alias("pos", "ch"))
     at = at.join(chars, "ch", "left").withColumn("kind", F.coalesce("kind", F.lit(""))).withColumn("ccc", F.coalesce("ccc", F.lit(0)))
     by_pos = Window.partitionBy("vid").orderBy("pos")
@@ -127,6 +148,9 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
     joiner = F.col("ch").isin("\u200d", "\ufe0f", "\ufe0e")
     emoji = (F.col("kind") == "emoji") | F.col("ch").rlike(r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{2BFF}]|[#*0-9]|\x{200D}|\x{FE0F}")
     kept = joiner & F.coalesce(F.lag(emoji).over(by_pos), F.lit(False)) & ((F.col("ch") != "\u200d") | F.coalesce(F.lead(F.col("ch").rlike(r"[\x{1F000}-\x{1FAFF}\x{2190}-\x{2BFF}]")).over(by_pos), F.lit(False)))
+    tag = F.col("ch").rlike(r"[\x{E0020}-\x{E007F}]")  # tags belong to the flag before them
+    flag = F.last(F.when(~tag, F.col("ch")), ignorenulls=True).over(by_pos.rowsBetween(Window.unboundedPreceding, -1)) == "\U0001f3f4"
+    kept = kept | (tag & F.coalesce(flag, F.lit(False)))
     at = at.withColumn("kind", F.when(kept, "").otherwise(F.col("kind")))
     at = at.withColumn("parts", F.when(F.col("kind") == "invisible", "").otherwise(F.coalesce("parts", "ch")))
     # Words: letters, digits, marks; invisible characters do not end a word.
@@ -139,13 +163,15 @@ def unified(values: DataFrame, column: str = "value") -> DataFrame:
     for s, form in forms.items():
         mine = F.col("script") == s
         at = at.withColumn(f"own{s}", count(mine & ~twin)).withColumn(f"all{s}", count(mine))
-        at = at.withColumn(f"bad{s}", count(F.col("script").isin(*forms) & ~mine & form.isNull()))
+        at = at.withColumn(f"bad{s}", count(F.col("script").isin(*forms, "O") & ~mine & form.isNull()))
+    at = at.withColumn("allO", count(F.col("script") == "O"))
     # The word's script: one in which every letter has a form; of those the one with most letters of its own
     # look, then with most letters; Latin on ties.
     rank = lambda s, tie: F.struct((F.col(f"bad{s}") == 0).alias("fits"), F.col(f"own{s}").alias("o"), F.col(f"all{s}").alias("a"), F.lit(tie).alias("t"), F.lit(s).alias("s"))
-    at = at.withColumn("main", F.greatest(rank("L", 2), rank("C", 1), rank("G", 0))["s"])
+    best = F.greatest(rank("L", 2), rank("C", 1), rank("G", 0))
+    at = at.withColumn("main", F.when(best["fits"], best["s"]))
     target = F.when(F.col("main") == "L", F.col("latin")).when(F.col("main") == "C", F.col("cyr")).otherwise(F.col("grk"))
-    mixed = F.col("allL").cast("boolean").cast("int") + F.col("allC").cast("boolean").cast("int") + F.col("allG").cast("boolean").cast("int") > 1
+    mixed = reduce(Column.__add__, [F.col(f"all{s}").cast("boolean").cast("int") for s in (*forms, "O")]) > 1
     swapped = twin & mixed & (F.col("script") != F.col("main")) & target.isNotNull()
     at = at.withColumn("swap", swapped).withColumn("parts", F.when(swapped, target).otherwise(F.col("parts")))
     # A case: a changed character of one of the named kinds, or an accent that could have been composed.

@@ -19,7 +19,17 @@ CASES = {
     "АNО": "ANO",
     "é‍x": "éx",
 }
-PLAIN = ["Тихий двор", "夜市ノート", "次の配信！", "👨‍👩‍👧 ok", "❤️ x", "π ≈ 3", "№ 5 → 20°C", "Señor Müde", "Ελλάδα", "한국어", "½ ™ ²", "THE CHANNEL Π", "", "plain", None]
+CASES |= {
+    "a\U000e0100b": "ab",
+    "x\U000e0001y": "xy",
+    "a\U000e0061\U000e0062": "a",
+    "\U0002f800": "\u4e3d",
+    "\u13abve": None,
+    "\u13aary": "Ary",
+    "g\u0585ld": "gold",
+    "tab\there": "tab here",
+}
+PLAIN = ["\u0442\u0435st", "\u0562\u0561\u0580\u0565\u057e", "\u13e3\u13b3\u13a9", "\U0001f3f4\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f ok", "Тихий двор", "夜市ノート", "次の配信！", "👨‍👩‍👧 ok", "❤️ x", "π ≈ 3", "№ 5 → 20°C", "Señor Müde", "Ελλάδα", "한국어", "½ ™ ²", "THE CHANNEL Π", "", "plain", None]
 
 
 def forms(spark, values):
@@ -41,6 +51,19 @@ def test_ordinary_values_stay(spark):
     assert "plain" not in got and None not in got and "" not in got
 
 
+def test_prefilter_holds_every_character_that_changes(spark):
+    """A value that passes as plain has none of the characters that the mappings change."""
+    from pyspark.sql import functions as F
+
+    from cliplake.llm.unify import characters, plain
+
+    odd = [c for c, kind, *_ in characters() if kind in ("invisible", "space", "form", "mark") or kind == "canon" and unicodedata.normalize("NFC", c) != c]
+    assert len(odd) > 2000
+    df = spark.createDataFrame([(f"a{c}b",) for c in odd], "v string")
+    assert [ascii(r.v) for r in df.where(plain(F.col("v"))).collect()] == []
+    assert spark.createDataFrame([("Señor Müde",), ("夜市ノート",), ("Тихий двор 1",)], "v string").where(plain(F.col("v"))).count() == 3
+
+
 def test_composition_equals_the_standard(spark):
     bases, marks = "aeoAnquz", "̸̧̣́̂̇"
     values = [b + m1 + m2 for b in bases for m1 in marks for m2 in marks]
