@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
 from pyspark.sql import functions as F
@@ -12,29 +11,10 @@ from pyspark.sql import functions as F
 from cliplake import plugins
 from cliplake.plans import api, pipeline, rpc
 from cliplake.session import local_session
+from cliplake.settings import flag, load_env, setting, shown
 from cliplake.sources.files import url_file
 from cliplake.warehouse import Warehouse
 
-#: Settings by environment variable, with their defaults.
-SETTINGS = {"CLIPLAKE_DATA": "./data", "CLIPLAKE_LLM": "fake", "CLIPLAKE_VLM": "fake", "CLIPLAKE_TRANSCRIBER": "fake", "CLIPLAKE_AUDIO": "", "CLIPLAKE_DIARIZER": "", "CLIPLAKE_MAX_FRAMES": "8", "CLIPLAKE_STRATEGY": "interval"}
-
-
-def load_env(path: str) -> None:
-    """NAME=value lines; the first '=' splits, quotes are taken off, variables that exist stay."""
-    if not os.path.exists(path):
-        return
-    with open(path, encoding="utf-8") as f:
-        for line in f:
-            line = line.strip()
-            if line and not line.startswith("#") and "=" in line:
-                name, _, value = line.partition("=")
-                os.environ.setdefault(name.strip(), value.strip().strip("'\""))
-
-
-def setting(name: str) -> str:
-    return os.environ.get(name, SETTINGS[name])
-
-
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="cliplake")
     sub = p.add_subparsers(dest="command", required=True)
@@ -65,8 +45,9 @@ def parser() -> argparse.ArgumentParser:
 
 def options(command: str, score: bool = False) -> pipeline.Options:
     return pipeline.Options(
-        transcriber=setting("CLIPLAKE_TRANSCRIBER"), vlm=setting("CLIPLAKE_VLM"), llm=setting("CLIPLAKE_LLM"), audio=setting("CLIPLAKE_AUDIO") or None, diarizer=setting("CLIPLAKE_DIARIZER") or None,
-        skip_transcribe=command in ("crawl", "vision"), skip_vision=command in ("crawl", "transcribe"), score=score, strategy=setting("CLIPLAKE_STRATEGY"), max_frames=int(setting("CLIPLAKE_MAX_FRAMES")),
+        crawler=setting("CRAWLER_BACKEND"), transcriber=setting("WHISPER_BACKEND"), vlm=setting("VLM_BACKEND"), llm=setting("LLM_BACKEND"), audio=setting("AUDIO_BACKEND") or None,
+        diarizer=(setting("DIARIZE_BACKEND") or None) if flag("DIARIZE_ENABLED") else None,
+        skip_transcribe=command in ("crawl", "vision"), skip_vision=command in ("crawl", "transcribe"), score=score, strategy=setting("KEYFRAME_STRATEGY"), max_frames=int(setting("KEYFRAME_MAX")),
     )
 
 
@@ -74,14 +55,13 @@ def main(argv: list[str] | None = None, warehouse: Warehouse | None = None) -> i
     a = parser().parse_args(argv)
     load_env(".env")
     if a.command == "config":
-        shown = {k: setting(k) for k in SETTINGS}
-        print(json.dumps(shown, indent=2))
+        print(json.dumps(shown(), indent=2))
         if a.action == "check":
-            for kind, name in (("llm", "CLIPLAKE_LLM"), ("vlm", "CLIPLAKE_VLM"), ("transcriber", "CLIPLAKE_TRANSCRIBER")):
+            for kind, name in (("llm", "LLM_BACKEND"), ("vlm", "VLM_BACKEND"), ("transcriber", "WHISPER_BACKEND"), ("crawler", "CRAWLER_BACKEND")):
                 plugins.backend(kind, setting(name))
         return 0
     if a.command == "browse":
-        for e in plugins.backend("crawler", "fake").browse(a.url, a.limit):
+        for e in plugins.backend("crawler", setting("CRAWLER_BACKEND")).browse(a.url, a.limit):
             print(e["id"], e["title"])
         return 0
     w = warehouse or Warehouse(local_session(), setting("CLIPLAKE_DATA"))
@@ -103,7 +83,7 @@ def main(argv: list[str] | None = None, warehouse: Warehouse | None = None) -> i
         if w.read("analyses").where(F.col("video_id") == a.video_id).isEmpty():
             print(f"No analysis of {a.video_id}", file=sys.stderr)
             return 1
-        pipeline.score(w, w.spark.createDataFrame([(a.video_id,)], "id string"), setting("CLIPLAKE_LLM"))
+        pipeline.score(w, w.spark.createDataFrame([(a.video_id,)], "id string"), setting("LLM_BACKEND"))
         print(w.read("scores").where(F.col("video_id") == a.video_id).first().asDict())
     elif a.command == "db":
         if a.action == "stats":

@@ -114,7 +114,8 @@ def _call(w: Warehouse, name: str, args: dict, o: pipeline.Options) -> Any:
     urls = w.spark.createDataFrame([(u,) for u in args["urls"]], "url string")
     batch = pipeline.create_batch(w, urls, "rpc")
     if name == "analyze" and args.get("wait") is False:
-        return {"batch_id": batch, "status": "running"}
+        pipeline.interrupt(w, batch)  # so that --resume finds it
+        return {"batch_id": batch, "status": "queued", "warning": "the batch is stored only; resume it, or call again with wait=true, to process it"}
     o.skip_vision, o.skip_transcribe = bool(args.get("skip_vision", name == "crawl")), bool(args.get("skip_transcribe", name == "crawl"))
     pipeline.run(w, batch, o)
     items = w.read("batch_items").where(F.col("batch_id") == batch)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,6 +77,10 @@ def _outcome(df: DataFrame, name: str) -> DataFrame:
     return written(df, f"stage-{name}")
 
 
+def _failed(got: DataFrame, key: str = "video_id") -> DataFrame:
+    return got.where("NOT ok").select(F.col(key).alias("id"), F.col("error").alias("e"))
+
+
 def run(w: Warehouse, batch_id: str, o: Options) -> None:
     """All stages over the pending items of the batch."""
     pending = w.read("batch_items").where((F.col("batch_id") == batch_id) & (F.col("status") == "pending"))
@@ -93,19 +98,14 @@ def run(w: Warehouse, batch_id: str, o: Options) -> None:
     w.put_latest("videos", _outcome(new, "videos"), "id")
     mine = _outcome(todo.where(~unsupported).select("id").distinct().join(w.read("videos"), "id").select("id", "file_path", "duration_sec"), "mine")
 
-    if not o.skip_transcribe:
-        _transcribe(w, mine, o)
-    if o.audio:
-        _audio(w, mine, o)
-    if o.diarizer:
-        _diarize(w, mine, o)
-    if not o.skip_vision:
-        _vision(w, mine, o)
-    _merge(w, mine, o)
-    if o.score:
-        score(w, mine, o.llm)
-
-    errors = got.where("NOT ok").select("id", F.col("error").alias("e"))
+    # A stage answers with the items that failed in it (id, e); later stages leave them out.
+    failed = [got.where("NOT ok").select("id", F.col("error").alias("e"))]
+    stages = ((not o.skip_transcribe, _transcribe), (o.audio, _audio), (o.diarizer, _diarize), (not o.skip_vision, _vision), (True, _merge))
+    for wanted, stage in (*stages, (o.score, lambda w, m, o: score(w, m, o.llm))):
+        if wanted:
+            failed.append(stage(w, mine, o))
+            mine = mine.join(failed[-1].select("id"), "id", "left_anti")
+    errors = reduce(DataFrame.unionByName, failed).groupBy("id").agg(F.min("e").alias("e"))
     state = todo.join(errors, "id", "left").select("url", F.col("id").alias("_id"), F.when(F.col("id").isNull(), F.concat(F.lit("unsupported URL: "), "url")).otherwise(F.col("e")).alias("_e"))
     w.replace("batch_items", _closed_items(w, batch_id, state))
     _write_batch(w, batch_id, None, "completed")
@@ -126,14 +126,16 @@ def _set(w: Warehouse, ids: DataFrame, status: str) -> None:
     w.replace("videos", store.set_status(w.read("videos"), change, "id"))
 
 
-def _transcribe(w: Warehouse, mine: DataFrame, o: Options) -> None:
+def _transcribe(w: Warehouse, mine: DataFrame, o: Options) -> DataFrame:
     todo = store.todo(mine.withColumnRenamed("id", "video_id"), w.read("transcripts"), "video_id").select("video_id", "file_path")
-    got = _outcome(plugins.call_each(todo, "video_id", "transcriber", o.transcriber, lambda m, r: m.transcribe(r["file_path"])), "transcripts").where("ok")
+    got = _outcome(plugins.call_each(todo, "video_id", "transcriber", o.transcriber, lambda m, r: m.transcribe(r["file_path"])), "transcripts")
+    bad, got = _failed(got), got.where("ok")
     r = F.col("result")
     rows = got.select("video_id", F.get_json_object(r, "$.language").alias("language"), F.get_json_object(r, "$.text").alias("text_full"), F.get_json_object(r, "$.segments").alias("segments_json"),
                       F.get_json_object(r, "$.model").alias("whisper_model"), F.get_json_object(r, "$.duration_sec").cast("double").alias("duration_sec"), F.current_timestamp().alias("created_at"))
     w.put_latest("transcripts", rows, "video_id")
     _set(w, got.select(F.col("video_id").alias("id")), "transcribed")
+    return bad
 
 
 def _numbered(w: Warehouse, name: str, rows: DataFrame, order: list[str]) -> DataFrame:
@@ -141,21 +143,25 @@ def _numbered(w: Warehouse, name: str, rows: DataFrame, order: list[str]) -> Dat
     return store.assign_ids(rows, order, after, 8).withColumnRenamed("new_id", "id")
 
 
-def _audio(w: Warehouse, mine: DataFrame, o: Options) -> None:
+def _audio(w: Warehouse, mine: DataFrame, o: Options) -> DataFrame:
     todo = store.todo(mine.withColumnRenamed("id", "video_id"), w.read("audio_events"), "video_id").select("video_id", "file_path")
-    got = _outcome(plugins.call_each(todo, "video_id", "audio", o.audio, lambda m, r: m.analyze(r["file_path"])), "audio").where("ok")
+    got = _outcome(plugins.call_each(todo, "video_id", "audio", o.audio, lambda m, r: m.analyze(r["file_path"])), "audio")
+    bad, got = _failed(got), got.where("ok")
     e = got.select("video_id", F.posexplode(F.from_json("result", "array<struct<label:string,start_sec:double,end_sec:double,confidence:double>>")).alias("id", "e")).select("video_id", F.col("id").cast("bigint").alias("id"), "e.*")
     e = e.where("confidence > 0.3").withColumn("event_type", audio.classify_label(F.col("label")))
     merged = audio.merge_adjacent(e).select("video_id", "event_type", F.coalesce("label", F.lit("")).alias("label"), "start_sec", "end_sec", "confidence")
     w.append("audio_events", _numbered(w, "audio_events", merged, ["video_id", "start_sec"]))
+    return bad
 
 
-def _diarize(w: Warehouse, mine: DataFrame, o: Options) -> None:
+def _diarize(w: Warehouse, mine: DataFrame, o: Options) -> DataFrame:
     todo = store.todo(mine.withColumnRenamed("id", "video_id"), w.read("speaker_segments"), "video_id").select("video_id", "file_path")
-    got = _outcome(plugins.call_each(todo, "video_id", "diarizer", o.diarizer, lambda m, r: m.diarize(r["file_path"])), "turns").where("ok")
+    got = _outcome(plugins.call_each(todo, "video_id", "diarizer", o.diarizer, lambda m, r: m.diarize(r["file_path"])), "turns")
+    bad, got = _failed(got), got.where("ok")
     turn = got.select("video_id", F.posexplode(F.from_json("result", "array<struct<speaker:string,start_sec:double,end_sec:double>>")).alias("turn_no", "t")).select("video_id", "turn_no", "t.*")
     w.append("speaker_segments", turn.select("video_id", "speaker", "start_sec", "end_sec"))
     w.put_latest("transcripts", _outcome(labelled(w.read("transcripts"), turn), "labelled"), "video_id")
+    return bad
 
 
 def labelled(transcripts: DataFrame, turn: DataFrame) -> DataFrame:
@@ -184,7 +190,7 @@ def select_frames(v: DataFrame, strategy: str, most: int, scene: DataFrame | Non
     return frames.reindex(frames.keyframe_trim(frames.first_last_guard(v, f), most))
 
 
-def _vision(w: Warehouse, mine: DataFrame, o: Options) -> None:
+def _vision(w: Warehouse, mine: DataFrame, o: Options) -> DataFrame:
     v = mine.select(F.col("id").alias("video_id"), "duration_sec")
     fresh = store.todo(v, w.read("keyframes"), "video_id")
     f = select_frames(fresh, o.strategy, o.max_frames, o.extra.get("scene")).drop("id")
@@ -192,24 +198,32 @@ def _vision(w: Warehouse, mine: DataFrame, o: Options) -> None:
     f = f.select("video_id", "frame_index", "timestamp_sec", path.alias("file_path"), F.lit(o.strategy).alias("strategy"))
     w.append("keyframes", _outcome(_numbered(w, "keyframes", f, ["video_id", "timestamp_sec"]), "frames"))
     # Gated on the descriptions themselves, so frames that a broken run left undescribed are described later.
-    k = w.read("keyframes").join(v.select("video_id"), "video_id", "left_semi").select(F.col("id").alias("keyframe_id"), "file_path")
+    k = w.read("keyframes").join(v, "video_id")
+    total = k.groupBy("video_id").agg(F.count("*").alias("total"))
+    prompt = X.frame_prompt(F.col("frame_index"), F.col("total"), F.col("timestamp_sec"), F.col("duration_sec"))
+    k = k.join(total, "video_id").select(F.col("id").alias("keyframe_id"), "video_id", "file_path", prompt.alias("prompt"))
     todo = store.todo(k, w.read("vision_descriptions"), "keyframe_id").withColumn("keyframe_id", F.col("keyframe_id").cast("string"))
-    got = _outcome(plugins.call_each(todo, "keyframe_id", "vlm", o.vlm, lambda m, r: m.describe(r["file_path"], X.FRAME_TASK)), "descriptions").where("ok")
+    got = _outcome(plugins.call_each(todo, "keyframe_id", "vlm", o.vlm, lambda m, r: m.describe(r["file_path"], r["prompt"])), "descriptions")
+    of = k.select(F.col("keyframe_id").cast("string").alias("keyframe_id"), "video_id")
+    bad, got = _outcome(_failed(got.join(of, "keyframe_id")).groupBy("id").agg(F.min("e").alias("e")), "undescribed"), got.where("ok")
     r = F.col("result")
-    w.append("vision_descriptions", got.select(F.col("keyframe_id").cast("bigint"), F.get_json_object(r, "$.description").alias("description"), F.get_json_object(r, "$.objects").alias("objects_json"), F.get_json_object(r, "$.text_in_frame").alias("text_in_frame"), F.lit(o.vlm).alias("vlm_backend"), F.lit(None).cast("string").alias("vlm_model")))
+    w.put_latest("vision_descriptions", got.select(F.col("keyframe_id").cast("bigint"), F.get_json_object(r, "$.description").alias("description"), F.get_json_object(r, "$.objects").alias("objects_json"), F.get_json_object(r, "$.text_in_frame").alias("text_in_frame"), F.lit(o.vlm).alias("vlm_backend"), F.lit(None).cast("string").alias("vlm_model")), "keyframe_id")
+    return bad
 
 
-def _merge(w: Warehouse, mine: DataFrame, o: Options) -> None:
+def _merge(w: Warehouse, mine: DataFrame, o: Options) -> DataFrame:
     from cliplake.plans import reference as R
 
-    v = store.todo(mine.select(F.col("id").alias("video_id")), w.read("analyses"), "video_id").join(w.read("videos").withColumnRenamed("id", "video_id"), "video_id").select("video_id", "title", "platform", "uploader")
+    v = store.todo(mine.select(F.col("id").alias("video_id")), w.read("analyses"), "video_id").join(w.read("videos").withColumnRenamed("id", "video_id"), "video_id").select("video_id", "title", "platform", "uploader", "duration_sec")
     k = w.read("keyframes").join(w.read("vision_descriptions").withColumnRenamed("keyframe_id", "id"), "id")
     fr = k.groupBy("video_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_sec", "id", "description"))), lambda x: F.concat(F.lit("["), X.fixed(x["timestamp_sec"], 1), F.lit("s] "), x["description"])), "\n").alias("frames"))
-    ev = w.read("audio_events").groupBy("video_id", "event_type").agg(F.count("*").alias("n")).groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("event_type", F.lit(" x"), "n"))), "\n").alias("sounds"))
+    ev = R.sound_lines(w.read("audio_events"))
     prompts = R.merge_prompts(v, R.transcript_lines(w.read("transcripts")), fr, ev, MERGE_TASK + R.TEMPLATE)
-    got = _outcome(plugins.call_each(prompts, "video_id", "llm", o.llm, lambda m, r: m.complete(r["prompt"], max_tokens=800, temperature=0.1)), "analyses").where("ok")
+    got = _outcome(plugins.call_each(prompts, "video_id", "llm", o.llm, lambda m, r: m.complete(r["prompt"], max_tokens=800, temperature=0.1)), "analyses")
+    bad, got = _failed(got), got.where("ok")
     w.put_latest("analyses", merged_replies(got.select("video_id", F.get_json_object(F.concat(F.lit('{"r":'), "result", F.lit("}")), "$.r").alias("reply"))), "video_id")
     _set(w, got.select(F.col("video_id").alias("id")), "analyzed")
+    return bad
 
 
 def merged_replies(replies: DataFrame) -> DataFrame:
@@ -224,12 +238,14 @@ def merged_replies(replies: DataFrame) -> DataFrame:
     )
 
 
-def score(w: Warehouse, mine: DataFrame, llm: str) -> None:
-    """Scores of the analyzed videos that have none."""
+def score(w: Warehouse, mine: DataFrame, llm: str) -> DataFrame:
+    """Scores of the analyzed videos that have none; answers with those that failed."""
     from cliplake.plans import reference as R
 
     todo = store.todo(w.read("analyses").join(mine.select(F.col("id").alias("video_id")), "video_id", "left_semi"), w.read("scores"), "video_id")
     prompts = todo.select("video_id", F.concat(F.lit(SCORE_TASK), "full_json").alias("prompt"))
-    got = _outcome(plugins.call_each(prompts, "video_id", "llm", llm, lambda m, r: m.complete(r["prompt"], max_tokens=300, temperature=0.2)), "scores").where("ok")
+    got = _outcome(plugins.call_each(prompts, "video_id", "llm", llm, lambda m, r: m.complete(r["prompt"], max_tokens=300, temperature=0.2)), "scores")
+    bad, got = _failed(got), got.where("ok")
     reply = got.select("video_id", F.get_json_object(F.concat(F.lit('{"r":'), "result", F.lit("}")), "$.r").alias("reply"))
-    w.append("scores", R.score_columns(reply).withColumn("model_used", F.lit(llm)))
+    w.put_latest("scores", R.score_columns(reply).withColumn("model_used", F.lit(llm)), "video_id")
+    return bad

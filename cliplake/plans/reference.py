@@ -758,10 +758,10 @@ def frame_prompt(spark, d):
 
 
 def merge_prompts(v: DataFrame, text: DataFrame, frames_: DataFrame, sounds: DataFrame, template: str) -> DataFrame:
-    """video_id, prompt: the template with title, platform, uploader, transcript, frames and sounds filled in."""
+    """video_id, prompt: the template with title, platform, duration, uploader, transcript, frames and sounds filled in."""
     r = v.join(text, "video_id", "left").join(frames_, "video_id", "left").join(sounds, "video_id", "left")
     parts = {
-        "title": store.falsy(F.col("title"), F.lit("(untitled)")), "platform": F.col("platform"), "uploader": store.falsy(F.col("uploader"), F.lit("(unknown)")),
+        "title": store.falsy(F.col("title"), F.lit("(untitled)")), "platform": F.col("platform"), "duration": F.coalesce(F.nullif(F.col("duration_sec"), F.lit(0.0)).cast("string"), F.lit("0")), "uploader": store.falsy(F.col("uploader"), F.lit("(unknown)")),
         "transcript": F.coalesce("text", F.lit("(no transcript)")), "frames": F.coalesce("frames", F.lit("(no vision data)")), "sounds": F.coalesce("sounds", F.lit("(no audio analysis)")),
     }
     pieces, rest = [], template
@@ -772,21 +772,26 @@ def merge_prompts(v: DataFrame, text: DataFrame, frames_: DataFrame, sounds: Dat
     return r.select("video_id", F.concat(*pieces, F.lit(rest)).alias("prompt"))
 
 
-TEMPLATE = "Title: {title}\nPlatform: {platform}\nUploader: {uploader}\n\n{transcript}\n\n{frames}\n\n{sounds}\n"
+def sound_lines(e: DataFrame) -> DataFrame:
+    """video_id, sounds: one line per event by time, put together from pieces of an hour each."""
+    pieces = F.sort_array(F.collect_list(F.struct("shard", "text")))
+    return event_lines(e).groupBy("video_id").agg(F.array_join(F.transform(pieces, lambda x: x["text"]), "\n").alias("sounds"))
 
 
-@query("WITH " + ", ".join((_S, _TT, _V, _K, _E)) + """, FL AS (SELECT video_id, string_agg('- ' || description, chr(10) ORDER BY timestamp_sec, id) AS frames FROM (SELECT K.video_id, K.timestamp_sec, K.id, D.description FROM K JOIN (SELECT DISTINCT keyframe_id, description FROM vision_descriptions) D ON D.keyframe_id = K.id) GROUP BY video_id),
-  EL AS (SELECT video_id, event_type || ' x' || count(*) AS l FROM E GROUP BY video_id, event_type), SL AS (SELECT video_id, string_agg(l, chr(10) ORDER BY l) AS sounds FROM EL GROUP BY video_id)
-  SELECT V.id AS video_id, md5('Title: ' || coalesce(nullif(title, ''), '(untitled)') || chr(10) || 'Platform: ' || platform || chr(10) || 'Uploader: ' || coalesce(nullif(uploader, ''), '(unknown)') || chr(10) || chr(10) || coalesce(text, '(no transcript)') || chr(10) || chr(10) || coalesce(frames, '(no vision data)') || chr(10) || chr(10) || coalesce(sounds, '(no audio analysis)') || chr(10)) AS digest
+TEMPLATE = "Title: {title}\nPlatform: {platform}\nDuration: {duration}s\nUploader: {uploader}\n\n{transcript}\n\n{frames}\n\n{sounds}\n"
+
+
+@query("WITH " + ", ".join((_S, _TT, _V, _K, _E)) + """, FL AS (SELECT video_id, string_agg('[' || format('{:.1f}', timestamp_sec) || 's] ' || description, chr(10) ORDER BY timestamp_sec, id) AS frames FROM (SELECT K.video_id, K.timestamp_sec, K.id, D.description FROM K JOIN (SELECT DISTINCT keyframe_id, description FROM vision_descriptions) D ON D.keyframe_id = K.id) GROUP BY video_id),
+  SL AS (SELECT video_id, string_agg(""" + _LINE + """, chr(10) ORDER BY start_sec, id) AS sounds FROM E GROUP BY video_id)
+  SELECT V.id AS video_id, md5('Title: ' || coalesce(nullif(title, ''), '(untitled)') || chr(10) || 'Platform: ' || platform || chr(10) || 'Duration: ' || coalesce(CAST(nullif(duration_sec, 0) AS VARCHAR), '0') || 's' || chr(10) || 'Uploader: ' || coalesce(nullif(uploader, ''), '(unknown)') || chr(10) || chr(10) || coalesce(text, '(no transcript)') || chr(10) || chr(10) || coalesce(frames, '(no vision data)') || chr(10) || chr(10) || coalesce(sounds, '(no audio analysis)') || chr(10)) AS digest
   FROM V LEFT JOIN TT ON TT.video_id = V.id LEFT JOIN FL ON FL.video_id = V.id LEFT JOIN SL ON SL.video_id = V.id""")
 def merge_prompt(spark, d):
-    """Prompts over transcript, frame lines and sounds; sounds are counted per type, so a live stream's prompt stays short."""
+    """Prompts over transcript, frame lines and sound lines."""
     f = frame_descriptions(spark, d).groupBy("video_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_sec", "keyframe_id", "description"))), lambda x: F.concat(F.lit("- "), x["description"])), "\n").alias("frames")
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("timestamp_sec", "keyframe_id", "description"))), lambda x: F.concat(F.lit("["), X.fixed(x["timestamp_sec"], 1), F.lit("s] "), x["description"])), "\n").alias("frames")
     )
-    e = events(spark, d).groupBy("video_id", "event_type").agg(F.count("*").alias("n"))
-    e = e.groupBy("video_id").agg(F.array_join(F.sort_array(F.collect_list(F.concat("event_type", F.lit(" x"), "n"))), "\n").alias("sounds"))
-    v = videos(spark, d).withColumnRenamed("id", "video_id").select("video_id", "title", "platform", "uploader")
+    e = sound_lines(events(spark, d))
+    v = videos(spark, d).withColumnRenamed("id", "video_id").select("video_id", "title", "platform", "uploader", "duration_sec")
     return merge_prompts(v, transcript_lines(transcripts(spark, d)), f, e, TEMPLATE).select("video_id", F.md5("prompt").alias("digest"))
 
 

@@ -16,6 +16,8 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from cliplake.settings import setting
+
 
 class Crawler(Protocol):
     def download(self, url: str) -> dict: ...
@@ -53,9 +55,15 @@ def register(kind: str, name: str, factory: Callable[[], Any]) -> None:
 
 
 def backend(kind: str, name: str) -> Any:
+    return factory_of(kind, name)()
+
+
+def factory_of(kind: str, name: str) -> Callable[[], Any]:
+    if (kind, name) not in _BACKENDS:
+        from cliplake.plugins import http, programs  # noqa: F401 - they register themselves
     if (kind, name) not in _BACKENDS:
         raise ValueError(f"unknown {kind} backend: {name}")
-    return _BACKENDS[kind, name]()
+    return _BACKENDS[kind, name]
 
 
 def retry(times: int = 3, wait: float = 1.0, factor: float = 2.0, sleep: Callable[[float], None] = time.sleep):
@@ -82,13 +90,14 @@ def retry(times: int = 3, wait: float = 1.0, factor: float = 2.0, sleep: Callabl
 class Spacing:
     """At most so many calls a minute, by spacing them (per process)."""
 
+    #: Calls a minute by platform (fixed values); others as the settings say.
     PER_MINUTE = {"youtube": 10, "instagram": 5, "tiktok": 8}
 
     def __init__(self, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         self.clock, self.sleep, self.last = clock, sleep, {}
 
     def wait(self, platform: str) -> None:
-        gap = 60.0 / self.PER_MINUTE.get(platform, 10)
+        gap = 60.0 / (self.PER_MINUTE.get(platform) or int(setting("RATE_LIMIT_PER_MINUTE")))
         now, before = self.clock(), self.last.get(platform)
         if before is not None and now - before < gap:
             self.sleep(gap - (now - before))
@@ -101,9 +110,7 @@ def call_each(rows: DataFrame, key: str, kind: str, name: str, call: Callable[[A
 
     The outcome is expensive and may differ when called again, so write it before using it twice.
     """
-    factory = _BACKENDS.get((kind, name))
-    if factory is None:
-        raise ValueError(f"unknown {kind} backend: {name}")
+    factory = factory_of(kind, name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = factory()

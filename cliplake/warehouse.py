@@ -1,4 +1,8 @@
-"""Snapshot tables in a folder: every change writes a new snapshot and then moves a one-line pointer to it."""
+"""Snapshot tables in a folder: a table is a list of written parts, named in a one-line pointer.
+
+Appending writes the new rows as one more part; replacing writes a new first part. Either way the pointer is
+moved last, so readers see the table before or after, never between.
+"""
 
 from __future__ import annotations
 
@@ -41,17 +45,28 @@ class Warehouse:
         for v in range(self.version() + 1, VERSION + 1):
             for t in MIGRATIONS[v]:
                 if not os.path.exists(self._file(f"{t}.json")):
-                    self._put(f"{t}.json", json.dumps({"path": None}))
+                    self._point(t, [])
             self._put("VERSION", str(v))
             done.append(v)
         return done
 
     def read(self, name: str) -> DataFrame:
-        with open(self._file(f"{name}.json"), encoding="utf-8") as f:
-            path = json.load(f)["path"]
-        if path is None:
+        parts = self._parts(name)
+        if not parts:
             return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(os.path.join(self.root, path))
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*[self._file(p) for p in parts])
+
+    def _parts(self, name: str) -> list[str]:
+        with open(self._file(f"{name}.json"), encoding="utf-8") as f:
+            return json.load(f)["parts"]
+
+    def _point(self, name: str, parts: list[str]) -> None:
+        self._put(f"{name}.json", json.dumps({"parts": parts}))
+
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = f"{name}-{uuid.uuid4().hex}"
+        rows.select(self.columns(name)).write.parquet(self._file(part))
+        return part
 
     @staticmethod
     def columns(name: str) -> list[str]:
@@ -59,12 +74,12 @@ class Warehouse:
 
     def replace(self, name: str, rows: DataFrame) -> None:
         """The whole table anew; readers of the old snapshot are not disturbed until ``vacuum``."""
-        path = f"{name}-{uuid.uuid4().hex}"
-        rows.select(self.columns(name)).write.parquet(os.path.join(self.root, path))
-        self._put(f"{name}.json", json.dumps({"path": path}))
+        self._point(name, [self._write(name, rows)])
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows.select(self.columns(name))))
+        """More rows, as a part of their own: what is there is not written again."""
+        part = self._write(name, rows)
+        self._point(name, [*self._parts(name), part])
 
     def put_latest(self, name: str, rows: DataFrame, key: str) -> None:
         """New rows in place of those with the same key."""
@@ -75,8 +90,7 @@ class Warehouse:
         live = set()
         for t in SCHEMAS:
             if os.path.exists(self._file(f"{t}.json")):
-                with open(self._file(f"{t}.json"), encoding="utf-8") as f:
-                    live.add(json.load(f)["path"])
+                live.update(self._parts(t))
         gone = [p for p in os.listdir(self.root) if os.path.isdir(self._file(p)) and p not in live]
         for p in gone:
             shutil.rmtree(self._file(p))
@@ -85,5 +99,5 @@ class Warehouse:
     def reset(self) -> None:
         """Empties all tables."""
         for t in SCHEMAS:
-            self._put(f"{t}.json", json.dumps({"path": None}))
+            self._point(t, [])
         self.vacuum()

@@ -174,6 +174,17 @@ def test_text_sources(spark):
     assert label_list(spark.createDataFrame([], "label string"), 3).orderBy("class_no").collect()[2].label == "class_2"
 
 
+def test_binary_rounding(spark):
+    r = random.Random(1)
+    v = [0.35, 2.675, 0.125, 0.5, 1.5, 2.5, -0.04, -2.675, 0.0, 1e15, 123456.785, float("inf"), 1e300, None, -1e-9]
+    v += [round(r.uniform(-1000, 1000), r.randint(0, 5)) for _ in range(3000)] + [(2 * r.randrange(10**6) + 1) / 2 ** r.randint(1, 6) for _ in range(1000)]
+    df = spark.createDataFrame([(x,) for x in v], "x double")
+    for d in (0, 1, 2, 3):
+        for x, got, text in df.select("x", X.round_binary(F.col("x"), d), X.fixed(F.col("x"), d)).collect():
+            assert (got, text) == (None, None) if x is None else got == round(x, d) and (text == "%.*f" % (d, x) or abs(x) > 4e12), (x, d, got, text)
+    assert spark.createDataFrame([(float("nan"),)], "x double").select(X.fixed(F.col("x"), 1)).first()[0] == "nan"
+
+
 def test_bounded_sample(spark):
     from cliplake.operators.sampling import bounded_sample
 

@@ -4,8 +4,9 @@ import json
 import pytest
 
 from cliplake import plugins
-from cliplake.__main__ import load_env, main
+from cliplake.__main__ import main
 from cliplake.plans import api, pipeline, rpc
+from cliplake.settings import load_env
 from cliplake.streaming.ingest import drain_url_files
 from cliplake.warehouse import Warehouse
 
@@ -52,6 +53,54 @@ def test_second_run_has_nothing_to_do(done, spark):
     assert w.read("analyses").count() == len(before)
 
 
+def test_errors_of_every_stage_stay_with_their_item(spark, tmp_path):
+    class Grumpy(plugins.FakeTranscriber):
+        def transcribe(self, path):
+            if path.endswith(("0.mp4", "1.mp4", "2.mp4", "3.mp4", "4.mp4")):
+                raise RuntimeError("no speech today")
+            return super().transcribe(path)
+
+    class Blind(plugins.FakeDescriber):
+        def describe(self, path, prompt):
+            if path.endswith("0001.jpg"):
+                raise RuntimeError("too dark")
+            return super().describe(path, prompt) | {"description": prompt}
+
+    plugins.register("transcriber", "grumpy", Grumpy)
+    plugins.register("vlm", "blind", Blind)
+    w = Warehouse(spark, str(tmp_path / "w"))
+    urls = [f"https://youtube.com/shorts/{k:011d}" for k in range(8)]
+    b = pipeline.create_batch(w, spark.createDataFrame([(u,) for u in urls], "url string"))
+    pipeline.run(w, b, pipeline.Options(transcriber="grumpy"))
+    items = w.read("batch_items").collect()
+    bad = [r for r in items if r.status == "error"]
+    assert 0 < len(bad) < 8 and all("no speech today" in r.error_message for r in bad)
+    assert {r.video_id for r in w.read("analyses").collect()} == {r.video_id for r in items if r.status == "done"}
+    again = Warehouse(spark, str(tmp_path / "v"))
+    b = pipeline.create_batch(again, spark.createDataFrame([(u,) for u in urls[:2]], "url string"))
+    pipeline.run(again, b, pipeline.Options(vlm="blind"))
+    assert all(r.status == "error" and "too dark" in r.error_message for r in again.read("batch_items").collect())
+    assert again.read("analyses").count() == 0 and again.read("vision_descriptions").where("description LIKE 'This is frame 1 of %. Captured at %'").count() == 2
+
+
+def test_queued_batch_is_resumable(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    got = api._call(w, "analyze", {"urls": URLS[:1], "wait": False}, pipeline.Options())
+    assert got["status"] == "queued" and got["warning"] and pipeline.resumable(w) == got["batch_id"]
+
+
+def test_append_keeps_the_parts(spark, tmp_path):
+    w = Warehouse(spark, str(tmp_path / "w"))
+    row = lambda i: spark.createDataFrame([(i, "v", "speech", "x", 0.0, 1.0, 0.5)], "id bigint, video_id string, event_type string, label string, start_sec double, end_sec double, confidence double")
+    w.append("audio_events", row(1))
+    first = w._parts("audio_events")
+    w.append("audio_events", row(2))
+    assert w._parts("audio_events")[:1] == first and len(w._parts("audio_events")) == 2
+    assert sorted(r.id for r in w.read("audio_events").collect()) == [1, 2]
+    w.replace("audio_events", row(3))
+    assert w.vacuum() == 2 and [r.id for r in w.read("audio_events").collect()] == [3]
+
+
 def test_duplicate_url_is_refused(done, spark):
     with pytest.raises(ValueError):
         pipeline.create_batch(done[0], spark.createDataFrame([("u",), ("u",)], "url string"))
@@ -105,6 +154,7 @@ def test_rpc(done):
 
 def test_cli(done, capsys, tmp_path, monkeypatch):
     w, _ = done
+    monkeypatch.setenv("CRAWLER_BACKEND", "fake")
     assert main(["list"], w) == 0 and "analyzed" in capsys.readouterr().out
     assert main(["show", "none"], w) == 1
     assert main(["config", "check"]) == 0
