@@ -36,43 +36,49 @@ def mime_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), ending), F.lit("image/jpeg"))
 
 
-def _scaled(value: Column, digits: int) -> tuple[Column, Column]:
-    """|value| * 10^digits rounded to a whole number as the binary value says, ties to even; and the unrounded product.
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once: a plain column would be repeated wherever it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _scaled(value: Column, digits: int) -> Column:
+    """|value| * 10^digits rounded to a whole number as the binary value says, ties to even.
 
     The product p and its rounding error e are exact together (Dekker's product of two split factors), so the
     sign of p - n - 1/2 + e tells on which side of the tie the binary value lies.
     """
-    x, split = F.abs(value), F.lit(134217729.0)
     b = 10.0**digits
     bh = 134217729.0 * b - (134217729.0 * b - b)
-    p = x * F.lit(b)
-    high = split * x - (split * x - x)
-    low = x - high
-    e = ((high * bh - p) + high * (b - bh) + low * bh) + low * (b - bh)
-    n = F.floor(p).cast("double")
-    side = (p - n - 0.5) + e
-    return F.when(side > 0, n + 1).when((side == 0) & (F.pmod(n, F.lit(2.0)) == 1), n + 1).otherwise(n), p
+    bl = b - bh
+    up = lambda n: lambda side: n + F.when((side > 0) | ((side == 0) & (F.pmod(n, F.lit(2.0)) == 1)), 1.0).otherwise(0.0)
+    error = lambda x, p, high: ((high * bh - p) + high * bl + (x - high) * bh) + (x - high) * bl
+    split = lambda x: _let(x * F.lit(134217729.0), lambda c: c - (c - x))
+    of_product = lambda x: lambda p: _let(F.floor(p).cast("double"), lambda n: _let((p - n - 0.5) + _let(split(x), lambda high: error(x, p, high)), up(n)))
+    return _let(F.abs(value), lambda x: _let(x * F.lit(b), of_product(x)))
+
+
+def _whole(value: Column, digits: int) -> Column:
+    """Whether the value has no further digits to round: so large, or no finite number."""
+    return F.isnan(value) | (F.abs(value) * F.lit(10.0**digits) >= 2.0**52)
 
 
 def round_binary(value: Column, digits: int) -> Column:
     """The double nearest to the binary value rounded to ``digits`` decimals, ties to even (2.675 -> 2.67, as it lies below the tie).
 
-    Values so large that they have no more digits, NaN and infinite values stay as they are.
+    Values so large that they have no more digits, NaN and infinite values stay as they are; -0.0 counts as 0.
     """
-    n, p = _scaled(value, digits)
-    r = n / F.lit(10.0**digits)
-    return F.when(F.isnan(value) | (p >= 2.0**52), value).when(value < 0, -r).otherwise(r)
+    r = _let(_scaled(value, digits) / F.lit(10.0**digits), lambda r: F.when(value < 0, -r).otherwise(r))
+    return F.when(_whole(value, digits), value).otherwise(r)
 
 
 def fixed(value: Column, digits: int) -> Column:
     """printf('%.nf') of the binary value: ties to even, trailing zeros kept, '-0.0' for small negative values, 'nan', 'inf'."""
-    n, p = _scaled(value, digits)
-    whole = n.cast("bigint").cast("string")
+    text = _scaled(value, digits).cast("bigint").cast("string")
     if digits:
-        whole = F.lpad(whole, F.greatest(F.length(whole), F.lit(digits + 1)), "0")
-        whole = F.concat(F.substring(whole, F.lit(1), F.length(whole) - digits), F.lit("."), F.substring(whole, -digits, digits))
+        padded = _let(text, lambda t: F.lpad(t, F.greatest(F.length(t), F.lit(digits + 1)), "0"))
+        text = _let(padded, lambda t: F.concat(F.substring(t, F.lit(1), F.length(t) - digits), F.lit("."), F.right(t, F.lit(digits))))
     large = F.when(F.isnan(value), F.lit("nan")).when(value == float("inf"), F.lit("inf")).when(value == float("-inf"), F.lit("-inf")).otherwise(F.format_string(f"%.{digits}f", value))
-    return F.when(F.isnan(value) | (p >= 2.0**52), large).when(value < 0, F.concat(F.lit("-"), whole)).otherwise(whole)
+    return F.when(_whole(value, digits), large).otherwise(F.concat(F.when(value < 0, "-").otherwise(""), text))
 
 
 def frame_prompt(index: Column, total: Column, at: Column, duration: Column) -> Column:
