@@ -85,6 +85,7 @@ def test_align_random(spark):
     segs = [(r.choice("ab"), i, s := round(r.uniform(0, 400), 2), round(s + r.uniform(0.1, 20), 2)) for i in range(200)]
     turns = [(r.choice("ab"), i, f"S{i % 4}", s := round(r.uniform(0, 400), 2), round(s + r.uniform(0.1, 40), 2)) for i in range(60)]
     turns.append(("b", 99, "LONG", 390.0, 390.0 + 200_000))
+    segs += [("a", 900, 0.0, 8e12), ("b", 901, 100.0, 5000.0), ("b", 902, 250_000.0, 900_000.0)]
     got = {(x.video_id, x.seg_no): x.speaker for x in align.speaker_align(spark.createDataFrame(segs, SEG), spark.createDataFrame(turns, TURN)).collect()}
     assert got == fold_align(segs, turns)
 
