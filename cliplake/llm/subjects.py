@@ -248,7 +248,7 @@ def fit(parts: DataFrame, begin: Weights, sentences_: int, steps: int, epochs: i
                 return [_to_bytes(*_gradient(now, Bags(d["idx"], d["size"], now.rarity), goal["rows"][mine], goal["y"][mine]))]
 
             got = [_from_bytes(r.g, classes) for r in _each(parts, gradient, "g binary").collect()]  # one gradient a part
-            shared.unpersist()
+            shared.destroy()
             idx, rows = _sum_rows(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]))
             step, lean = sum(g[2] for g in got), sum(g[3] for g in got)
             g_emb[idx] += (rows**2).mean(axis=1)
