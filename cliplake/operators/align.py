@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cliplake.session import written
+
 BUCKET_SEC = 60.0
 #: Bucket widths, each eight times the one before; at the last one 9e12 seconds touch two buckets.
 LEVELS = 14
@@ -29,6 +31,7 @@ def speaker_align(segments: DataFrame, turns: DataFrame, tolerance: float = 0.5)
     both sides have a level of widths by their length, and a pair meets at the greater of its two levels, so
     only neighbours in time are paired, however long a turn or a segment is.
     """
+    segments = written(segments.select("video_id", "seg_no", "start_sec", "end_sec"), "align-segments")  # read three times
     ok = "start_sec < end_sec AND abs(start_sec) < 9e12 AND abs(end_sec) < 9e12"
     s, e, own = F.col("start_sec"), F.col("end_sec"), F.array("own")
     t, g = (df.where(ok).withColumn("own", _level(s, e)) for df in (turns, segments))
